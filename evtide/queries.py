@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evtide.operators import compaction, timestamps, units
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = {
+    "p3_found": units.p3_found,
+    "p5_found": compaction.p5_found,
+    "p5_plan": compaction.p5_plan,
+    "p7_found": timestamps.p7_found,
+}
 ORACLES: dict[str, str] = {}

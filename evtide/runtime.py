@@ -5,8 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,9 +78,18 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: The white space of Unicode.
+WHITE_SPACE = " \t\n\r\x0b\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(value: Column) -> Column:
+    """Without white space of any kind around."""
+    return F.btrim(value, F.lit(WHITE_SPACE))
+
+
 def clean_key(value: Column) -> Column:
-    """Trim white space of any kind and ignore case."""
-    return F.lower(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))
+    """Without white space around and in lower case."""
+    return F.lower(stripped(value))
 
 
 #: Texts that stand for "nothing known".
@@ -92,13 +99,3 @@ STAND_INS = ("", "n/a", "unknown", "none", "-", "null", "tbd")
 def stand_in(cleaned: Column) -> Column:
     """True for blanks, the fixed stand-ins and identifiers of zeros only."""
     return cleaned.isin(*STAND_INS) | cleaned.rlike("^0+$")
-
-
-def with_free_names(df: DataFrame, *wanted: str) -> DataFrame:
-    """Keep only the wanted columns, so that extra columns can't clash with those an operator adds."""
-    return df.select(*wanted)
-
-
-def named(f: Callable, name: str) -> Callable:
-    f.__name__ = name
-    return f
