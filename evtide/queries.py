@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evtide.operators import compaction, timestamps, units
+from evtide.plans import template_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,3 +18,8 @@ QUERIES: dict[str, Query] = {
     "p7_found": timestamps.p7_found,
 }
 ORACLES: dict[str, str] = {}
+for _table in (template_queries.TABLE,):
+    for _name, (_query, _sql) in _table.items():
+        QUERIES[_name] = _query
+        if _sql:
+            ORACLES[_name] = _sql
