@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtide.runtime import clean_key, read
+from evtide.runtime import clean_key, read, stripped
 
 #: Precision names, finest first; names not listed come last.
 PRECISION_RANK = {"day": 0, "month": 1, "quarter": 2, "year": 3, "approximate": 3}
@@ -39,9 +39,9 @@ def survivors(members: DataFrame, group: str, member: str, recency: str, fields:
 
 def longest_headline(summaries: Column) -> Column:
     """The longest non-blank string (trimmed) of a valid JSON array, the first of equally long ones; null if there is none."""
-    items = F.when(F.json_array_length(summaries).isNotNull(), F.from_json(summaries, "array<string>"))
-    trimmed = F.transform(F.filter(items, lambda x: x.isNotNull()), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    longest = F.array_max(F.transform(trimmed, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x"))))
+    whole = F.when(F.endswith(stripped(summaries), F.lit("]")), summaries)
+    items = F.transform(F.from_json(whole, "array<string>", {"allowSingleQuotes": "false"}), stripped)
+    longest = F.array_max(F.transform(items, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x"))))
     return F.when(longest["n"] > 0, longest["x"])
 
 
