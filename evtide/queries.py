@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evtide.operators import compaction, timestamps, units
-from evtide.plans import canonical_queries, scoring_queries, template_queries
+from evtide.plans import canonical_queries, pipeline_queries, scoring_queries, template_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {
     "p7_found": timestamps.p7_found,
 }
 ORACLES: dict[str, str] = {}
-for _table in (template_queries.TABLE, canonical_queries.TABLE, scoring_queries.TABLE):
+for _table in (template_queries.TABLE, canonical_queries.TABLE, scoring_queries.TABLE, pipeline_queries.TABLE):
     for _name, (_query, _sql) in _table.items():
         QUERIES[_name] = _query
         if _sql:
