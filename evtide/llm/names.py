@@ -76,7 +76,7 @@ def parse(raw: str) -> tuple[list[str], str]:
     kept = [w for w in words if w not in LEGAL_WORDS and len(w) > 1] or words
     if not ticker and len(kept) == 1 and len(kept[0]) <= 6:
         ticker = kept[0]
-    return kept[:12], ticker
+    return kept, ticker
 
 
 def parts(words: list[str], generic: frozenset[str]) -> list[str]:
@@ -143,10 +143,13 @@ def abbreviates(short: str, long: str) -> bool:
 
 
 def telling_similarity(word: str, reference: str) -> float:
-    """1 for equal words, less by edits, 0 beyond one edit in short words, two in longer and three in very long ones."""
+    """1 for equal words, less for one edit (two in words of more than ten letters) once letters that look alike are equal, else 0.
+
+    Two edits in a word of eight letters lead to other words as often as to the same one.
+    """
     if word == reference:
         return 1.0
-    most = 1 if len(reference) <= 5 else 2 if len(reference) <= 10 else 3
+    most = 1 if len(reference) <= 10 else 2
     if abs(len(word) - len(reference)) > most + 1:
         return 0.0
     d = min(edits(word, reference), edits(shape(word), shape(reference)))
@@ -156,7 +159,8 @@ def telling_similarity(word: str, reference: str) -> float:
 class Scorer:
     """Monge-Elkan similarity of names, given the generic words of the reference names.
 
-    generic: bounded by its definition: each is in more than GENERIC_SHARE of the names, and a name has twelve words at most.
+    generic: bounded by its definition: each is in more than GENERIC_SHARE of the names, so there are at most as many as
+    a name has words on average, divided by that share.
     """
 
     def __init__(self, generic: frozenset[str]):
@@ -258,8 +262,7 @@ def link_names(names: DataFrame, name: str, references: DataFrame, entity: str,
     """(name, entity): the entity that each distinct name stands for; names without one, or with several equally near, are left out.
 
     references: (entity, ref_name), several rows per entity allowed; tickers: (entity, ticker). Null and blank names and
-    references are ignored, repeated rows change nothing, empty tables give no rows, extra columns are not used. Of a
-    name of very many words the first twelve count. Every distinct name is compared with every reference name that
+    references are ignored, repeated rows change nothing, empty tables give no rows, extra columns are not used. Every distinct name is compared with every reference name that
     shares a band; a hot band holds each distinct part once, whatever the number of rows.
     """
     bands, rows = choose_bands()
@@ -270,7 +273,7 @@ def link_names(names: DataFrame, name: str, references: DataFrame, entity: str,
     ref = stash(ref.withColumn("id", F.xxhash64("entity", "name")), "refs")
     limit = max(GENERIC_MIN, int(GENERIC_SHARE * ref.count()))
     frequent = ref.select("entity", F.explode("words").alias("w")).distinct().groupBy("w").count().where(F.col("count") > limit)
-    generic = frozenset(r["w"] for r in frequent.collect())  # at most 12 / GENERIC_SHARE words
+    generic = frozenset(r["w"] for r in frequent.collect())  # at most the words of an average name / GENERIC_SHARE
     own = tickers.select(F.col(tickers.columns[0]).alias("entity"), F.lower(F.regexp_replace(F.col(tickers.columns[1]), r"[\s.]", "")).alias("t")).where("entity is not null and t <> ''").distinct()
     ref = ref.join(own.groupBy("entity").agg(F.collect_set("t").alias("ref_tickers")), "entity", "left")
     ref = stash(ref.select(F.col("id").alias("ref_id"), "entity", F.col("words").alias("ref_words"), "ref_tickers", "name"), "refs")
@@ -286,7 +289,7 @@ def link_names(names: DataFrame, name: str, references: DataFrame, entity: str,
     todo = names.select(F.col(name).alias("name")).where("name is not null").where(~F.col("name").rlike(blank)).distinct()
     todo = stash(todo.mapInPandas(_parse_batches, schema).withColumn("id", F.xxhash64("name")), "names")
     mine = stash(indexed(todo.select("id", "words")), "parts")
-    close = F.levenshtein("part", "ref_part", 3) >= 0
+    close = F.levenshtein("part", "ref_part", 3) >= 0  # an upper bound of what the verification accepts
     alike = banded(mine, "part").join(broadcast_if_small(banded(ref_parts, "ref_part")), "h").select("part", "ref_part").distinct().where(close)
     by_band = mine.join(alike, "part").join(ref_parts.select(F.col("id").alias("ref_id"), F.col("part").alias("ref_part")), "ref_part").select("id", "ref_id").distinct()
     candidates = by_band.join(todo, "id").join(broadcast_if_small(ref), "ref_id")

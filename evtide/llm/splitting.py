@@ -19,6 +19,8 @@ from evtide.runtime import read
 LIMIT, OVERLAP = 6000, 1000
 #: How much shorter than OVERLAP an overlap may be so that it starts at a word.
 SLACK = 100
+#: Pieces ahead that one sparse table covers.
+AHEAD = 16
 #: Strength of a cut after a character.
 PARAGRAPH, SENTENCE, WORD, NONE = 3, 2, 1, 0
 
@@ -67,11 +69,19 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP, slack: int = SL
     if n <= limit:
         return [(0, n, PARAGRAPH)]
     cut = strengths(text)
-    table, pieces, start, done = RightmostMax(cut), [], 0, 0
+    pieces, start, done, reach = [], 0, 0, 0
     while True:
         if n - start <= limit:
             pieces.append((start, n, PARAGRAPH))
             return pieces
+        if start + limit + 1 > reach:  # the table covers some pieces ahead, so that it stays small for the longest texts
+            offset, reach = start, min(n + 1, start + AHEAD * (limit + 1))
+            block = RightmostMax(cut[offset:reach])
+
+            def table(low: int, high: int, block=block, offset=offset) -> tuple[int, int]:
+                at, value = block(low - offset, high - offset)
+                return at + offset, value
+
         end, strength = table(max(done, start + limit // 2) + 1, start + limit + 1)
         if strength == NONE and done < start + limit // 2:
             end, strength = table(done + 1, start + limit + 1)
