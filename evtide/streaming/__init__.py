@@ -1 +1 @@
-"""See the modules."""
+"""Event streams: windowed counts with late data, and duplicates within the watermark."""
