@@ -117,3 +117,26 @@ def replay(todo: DataFrame, recorded: DataFrame, key: str) -> DataFrame:
     """Recorded answers instead of calls; fails if one is missing."""
     joined = todo.join(recorded, key, "left")
     return joined.withColumn("answer", F.when(F.col("answer").isNull(), F.raise_error(F.concat(F.lit("no recorded answer for "), F.col(key).cast("string")))).otherwise(F.col("answer")))
+
+
+def valid_answers(answers: DataFrame, required: list[str], nullable: list[str], seen: DataFrame | None = None) -> DataFrame:
+    """answers (qid, columns, cited_urls) with valid: required columns filled, no others but the nullable ones, urls cited and, if seen (qid, url) is given, all of them seen."""
+    extra = [c for c in answers.columns if c not in {"qid", "cited_urls", *required, *nullable}]
+    ok = F.size("cited_urls") > 0
+    for c in required:
+        ok = ok & F.col(c).isNotNull()
+    for c in extra:
+        ok = ok & F.col(c).isNull()
+    if seen is None:
+        return answers.withColumn("valid", F.coalesce(ok, F.lit(False)))
+    row = answers.withColumn("_row", F.xxhash64(*answers.columns)).distinct()
+    cited = row.select("_row", "qid", F.explode(F.array_distinct("cited_urls")).alias("url"))
+    unseen = cited.join(seen.select("qid", "url").distinct(), ["qid", "url"], "left_anti").select("_row").distinct().withColumn("_unseen", F.lit(True))
+    return row.join(unseen, "_row", "left").withColumn("valid", F.coalesce(ok, F.lit(False)) & F.col("_unseen").isNull()).drop("_row", "_unseen")
+
+
+def looked_up(rows: DataFrame, reference: DataFrame, key: str) -> DataFrame:
+    """rows joined to reference on key; the job fails if a key is missing there."""
+    joined = rows.join(reference.withColumn("_there", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit("no reference row for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return joined.withColumn("_there", F.when(F.col("_there"), F.col("_there")).otherwise(missing)).where("_there").drop("_there")

@@ -104,3 +104,28 @@ def rerank(pairs: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series]
 def word_overlap(query: pd.Series, text: pd.Series) -> pd.Series:
     """A deterministic offline scorer: the part of the query's words that the text holds."""
     return pd.Series([len((q := set(a.lower().split())) & set(b.lower().split())) / max(len(q), 1) for a, b in zip(query, text, strict=True)])
+
+
+def roles(df: DataFrame) -> dict[str, str]:
+    """Which columns of a collection hold vectors, dates and term weights, by their types; ValueError without a vector."""
+    kinds = dict(df.dtypes)
+    found = {"vector": next((c for c, k in kinds.items() if k in ("array<float>", "array<double>")), ""), "sparse": next((c for c, k in kinds.items() if k.startswith("map<")), "")}
+    dates = [(c, k) for c, k in kinds.items() if "date" in c.lower()]
+    found["date"] = dates[0][0] if dates else ""
+    found["date_format"] = {"int": "yyyymmdd", "bigint": "yyyymmdd"}.get(dates[0][1], "iso") if dates else ""
+    if not found["vector"]:
+        raise ValueError("no vector column")
+    return found
+
+
+def cached_ranking(cache: DataFrame, k: int) -> DataFrame:
+    """A stored ranking (qid, doc, score, rank) cut to k; ValueError if it was made with fewer places."""
+    stored = cache.agg(F.max("rank")).first()[0]
+    if stored is not None and stored < k:
+        raise ValueError(f"the cache holds {stored} places per query, {k} are wanted")
+    return cache.where(F.col("rank") <= k)
+
+
+def search_rounds(ranking: DataFrame, per_round: int, rounds: int) -> list[DataFrame]:
+    """The rows of each round of a search that never shows a document twice to one query: the next unseen places of its ranking."""
+    return [ranking.where((F.col("rank") > r * per_round) & (F.col("rank") <= (r + 1) * per_round)).withColumn("round", F.lit(r + 1)) for r in range(rounds)]

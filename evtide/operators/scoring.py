@@ -93,3 +93,19 @@ def one_to_one(gold: DataFrame, pred: DataFrame, days: int = 1) -> DataFrame:
     keys = ("qid", "firm", "event_type")
     each = norm(gold).groupBy(*keys).cogroup(norm(pred).groupBy(*keys)).applyInPandas(match, "qid string, matched bigint, n_gold bigint, n_extra bigint")
     return each.groupBy("qid").agg(F.sum("matched").alias("matched"), F.sum("n_gold").alias("n_gold"), F.sum("n_extra").alias("n_extra"))
+
+
+#: Fixed value: a judge whose chunks support no provenance.
+POSTHOC_JUDGE = "posthoc_gemma_only"
+
+
+def gold_urls(gold: DataFrame, chunk_columns: list[str], events: str | None = None) -> Column:
+    """The sorted distinct urls of a gold row's chunks: of every chunk column, and of the chunks inside the array of events."""
+    urls = [F.transform(F.coalesce(F.col(c), F.array().cast(gold.schema[c].dataType)), lambda x: x["article_url"]) for c in chunk_columns]
+    if events:
+        urls.append(F.flatten(F.transform(F.coalesce(F.col(events), F.array().cast(gold.schema[events].dataType)), lambda e: F.transform(F.coalesce(e["golden_chunks"], F.array().cast(gold.schema[events].dataType.elementType["golden_chunks"].dataType)), lambda x: x["article_url"]))))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(*urls))))
+
+
+def supports_provenance(configured: Column, judge: Column) -> Column:
+    return configured & ~F.coalesce(judge == POSTHOC_JUDGE, F.lit(False))

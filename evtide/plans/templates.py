@@ -223,3 +223,43 @@ def cited(answers: DataFrame, sources: DataFrame, *ids: str) -> DataFrame:
     each = keyed.select("_row", F.explode(F.array_distinct(F.array(*ids))).alias("event_id"))
     urls = each.join(sources.where("url is not null"), "event_id").groupBy("_row").agg(F.array_sort(F.collect_set("url")).alias("cited_urls"))
     return keyed.join(urls, "_row", "left").withColumn("cited_urls", F.coalesce("cited_urls", F.array().cast("array<string>"))).drop("_row")
+
+
+def answer_questions(views: Views, questions: list[tuple[str, str, Params]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """The plans of questions (qid, template, params), and why others have none; one bad question doesn't stop the rest."""
+    plans: dict[str, DataFrame] = {}
+    failed: dict[str, str] = {}
+    for qid, template, params in questions:
+        try:
+            plans[qid] = run(template, views, params)
+        except Exception as e:  # whatever a question's parameters do wrong is reported with its id
+            failed[qid] = f"{type(e).__name__}: {e}"
+    return plans, failed
+
+
+#: How each template reads as a question.
+PHRASES = {
+    "A.1.1": "Which {E} events took place from {W_start} to {W_end}?",
+    "A.1.2": "Which firms had a {E} event from {W_start} to {W_end}?",
+    "A.2.1": "Which {E} events from {W_start} to {W_end} involve {F} in any role?",
+    "A.3.1": "Which firms were {R} in a {E} event from {W_start} to {W_end}?",
+    "B.1.1": "Which {E} events of other firms from {W_start} to {W_end} came {direction} the first one of {F_anchor}?",
+    "B.1.2": "Which firms had {E1} and {E2} events within {gap_days} days of each other from {W_start} to {W_end}?",
+    "B.1.3": "Which {E_trigger} events were followed by {E_followup} of the same firm within {lag_days} days from {W_start} to {W_end}?",
+    "B.1.4": "Which deals announced from {W_start} to {W_end} were completed within {horizon_days} days?",
+    "B.1.5": "How many days lie between the first {E1} and {E2} of {F} from {W_start} to {W_end}?",
+    "B.2.1": "Which {E} event was {position} from {W_start} to {W_end}, ties included?",
+    "B.2.2": "In which order did {F} have {E_set} events from {W_start} to {W_end}?",
+    "B.3.1": "Which firms had both {E1} and {E2} events from {W_start} to {W_end}?",
+    "B.3.2": "Which firms were {R} in {E} events both from {W1_start} to {W1_end} and from {W2_start} to {W2_end}?",
+    "B.3.3": "Which firms were {R} in both {E1} and {E2} events from {W_start} to {W_end}?",
+    "B.4.1": "Which firms had at least {N} {E} events from {W_start} to {W_end}?",
+    "B.4.2": "Which firms were {R} in at least {N} {E} events from {W_start} to {W_end}?",
+    "B.4.3": "Which {E} events took place in each {bucket_unit} from {W_start} to {W_end}?",
+    "B.4.4": "Which {E_set} events took place from {W_start} to {W_end}, with their types?",
+}
+
+
+def render(template: str, params: Params) -> str:
+    """A question in words; lists are joined with commas. KeyError for an unknown template or a missing parameter."""
+    return PHRASES[template].format(**{k: ", ".join(map(str, v)) if isinstance(v, (list, tuple)) else v for k, v in params.items()})
