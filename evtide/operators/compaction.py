@@ -102,9 +102,9 @@ def compact(files: DataFrame, path: str | None = None, target: int = TARGET_BYTE
     parsed = stash(records_of(files, target), "records")
     best = F.max_by(F.struct("grp", "record"), F.struct(F.length("record"), F.col("record")))
     unique = parsed.groupBy("article_id", "attempt").agg(best.alias("x")).select("x.grp", "article_id", "attempt", "x.record")
-    groups = max(1, parsed.select("grp").distinct().count())
+    groups = (parsed.agg(F.max("grp")).first()[0] or 0) + 1
     path = path or f"{shared_dir(spark)}/evtide-compacted-{uuid.uuid4().hex}"
-    unique.repartitionByRange(groups, "grp", "article_id").sortWithinPartitions("grp", "article_id", "attempt").write.mode("overwrite").parquet(path)
+    unique.repartitionById(groups, F.col("grp").cast("int")).sortWithinPartitions("article_id", "attempt").write.mode("overwrite").parquet(path)
     back = spark.read.schema("grp bigint, article_id string, attempt bigint, record string").parquet(path)
     reconcile(parsed, back)
     return back

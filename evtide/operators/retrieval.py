@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evtide.runtime import broadcast_if_small
+from evtide.runtime import broadcast_if_small, stash
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Characters up to which a text stays whole; length and step of the windows of longer ones.
@@ -40,7 +40,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     lengths = bags.select("doc", F.size("bag").alias("dl"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     wanted = broadcast_if_small(terms.select("term").distinct())
-    postings = bags.select("doc", F.size("bag").alias("dl"), F.explode("bag").alias("term")).join(wanted, "term").groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    postings = stash(bags.select("doc", F.size("bag").alias("dl"), F.explode("bag").alias("term")).join(wanted, "term").groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
     idf = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log(1 + (stats.n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighted = postings.join(broadcast_if_small(idf), "term").select("term", "doc", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (stats.avgdl or 1.0)))).alias("w"))
     scored = weighted.join(broadcast_if_small(terms), "term").groupBy("qid", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
