@@ -94,7 +94,7 @@ class Mix:
 
     def __init__(self, sizes: DataFrame, targets: DataFrame, slots: int = SLOTS):
         spark = sizes.sparkSession
-        self.sizes = sizes
+        self.sizes = sizes = sizes.select("id", "source", "tokens")
         ranges = sizes.groupBy("source", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(5)), F.lit(RANGES)).cast("int").alias("r")).agg(F.sum("tokens").alias("tokens"))
         self.ranges = stash(ranges, "ranges")
         wanted = targets.select(clean_key(F.col("source")).alias("source"), F.coalesce(F.col("target_share"), F.lit(0.0)).alias("share"), F.coalesce(F.col("max_repeats"), F.lit(1)).alias("repeats")).where("source is not null")
