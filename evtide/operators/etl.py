@@ -70,23 +70,27 @@ def pack_budget(chunks: DataFrame, budget: int) -> DataFrame:
     chunks: (qid, event_id, url, rank, tokens). Sequential within a question. A chunk that several events share counts once.
     """
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["rank", "event_id", "url"])
-        left, taken, covered = budget, {}, set()
-        for first in (True, False):
-            for r in rows.itertuples():
-                if first and r.event_id in covered or not first and r.url in taken:
-                    continue
-                if r.url in taken:
-                    covered.add(r.event_id)
-                elif r.tokens <= left:
-                    left -= r.tokens
-                    taken[r.url] = len(taken)
-                    covered.add(r.event_id)
-        return pd.DataFrame([(pdf["qid"].iloc[0], url, i) for url, i in taken.items()], columns=["qid", "url", "position"], dtype=object)
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for qid, rows in zip(pdf["qid"], pdf["rows"], strict=True):
+                left, taken, covered = budget, {}, set()
+                for first in (True, False):
+                    for r in rows:
+                        if first and r["event_id"] in covered or not first and r["url"] in taken:
+                            continue
+                        if r["url"] in taken:
+                            covered.add(r["event_id"])
+                        elif r["tokens"] <= left:
+                            left -= r["tokens"]
+                            taken[r["url"]] = len(taken)
+                            covered.add(r["event_id"])
+                out += [(qid, url, i) for url, i in taken.items()]
+            yield pd.DataFrame(out, columns=["qid", "url", "position"], dtype=object)
 
     kind = dict(chunks.dtypes)
-    return chunks.groupBy("qid").applyInPandas(pack, f"qid {kind['qid']}, url {kind['url']}, position int")
+    lists = chunks.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "event_id", "url", "tokens"))).alias("rows"))
+    return lists.mapInPandas(pack, f"qid {kind['qid']}, url {kind['url']}, position int")
 
 
 def json_slice(text: Column) -> Column:

@@ -6,6 +6,8 @@ may match any number of gold rows unless the scorer says one to one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,18 +82,23 @@ def one_to_one(gold: DataFrame, pred: DataFrame, days: int = 1) -> DataFrame:
     Sequential within a question, firm and type only: that is the group a task gets.
     """
 
-    def match(key: tuple, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        free, matched = sorted(p["day"].dropna()), 0
-        for d in sorted(g["day"].dropna()):
-            best = min(((abs((x - d).days), i) for i, x in enumerate(free)), default=None)
-            if best and best[0] <= days:
-                free.pop(best[1])
-                matched += 1
-        return pd.DataFrame({"qid": [key[0]], "matched": [matched], "n_gold": [len(g)], "n_extra": [len(p) - matched]})
-
-    norm = lambda df: df.select(F.col("qid").alias("qid"), F.upper("firm").alias("firm"), F.lower("event_type").alias("event_type"), F.col("day").alias("day"))
-    keys = ("qid", "firm", "event_type")
-    each = norm(gold).groupBy(*keys).cogroup(norm(pred).groupBy(*keys)).applyInPandas(match, "qid string, matched bigint, n_gold bigint, n_extra bigint")
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for qid, wanted, free, n_gold, n_pred in zip(pdf["qid"], pdf["gold_days"], pdf["pred_days"], pdf["n_gold"], pdf["n_pred"], strict=True):
+                free, matched = list(free) if free is not None else [], 0
+                for d in wanted if wanted is not None else []:
+                    best = min(((abs((x - d).days), i) for i, x in enumerate(free)), default=None)
+                    if best and best[0] <= days:
+                        free.pop(best[1])
+                        matched += 1
+                out.append((qid, matched, n_gold, n_pred - matched))
+            yield pd.DataFrame(out, columns=["qid", "matched", "n_gold", "n_extra"])
+
+    keys = ["qid", "firm", "event_type"]
+    norm = lambda df, name: df.select(F.col("qid").alias("qid"), F.coalesce(F.upper("firm"), F.lit("")).alias("firm"), F.coalesce(F.lower("event_type"), F.lit("")).alias("event_type"), F.col("day").alias("day")).groupBy(*keys).agg(F.array_sort(F.collect_list("day")).alias(f"{name}_days"), F.count(F.lit(1)).alias(f"n_{name}"))
+    both = norm(gold, "gold").join(norm(pred, "pred"), keys, "full").na.fill(0, ["n_gold", "n_pred"])
+    each = both.select("qid", "gold_days", "pred_days", "n_gold", "n_pred").mapInPandas(match, "qid string, matched bigint, n_gold bigint, n_extra bigint")
     return each.groupBy("qid").agg(F.sum("matched").alias("matched"), F.sum("n_gold").alias("n_gold"), F.sum("n_extra").alias("n_extra"))
 
 

@@ -36,7 +36,7 @@ def _provenance(s: SparkSession, d: str) -> DataFrame:
 
 def _provenance_pairs(s: SparkSession, d: str) -> DataFrame:
     v = corporate(s, d)
-    rows = T.b13(v, {"W_start": "2014-01-01", "W_end": "2024-12-31", "E_trigger": "M&A_announce", "E_followup": "M&A_complete", "lag_days": 400})
+    rows = T.by_identity(v, {"W_start": "2014-01-01", "W_end": "2024-12-31"}, "M&A_announce", "M&A_complete", 0, 120)
     return T.cited(rows, v.sources, "id1", "id2").withColumn("cited_urls", F.array_join("cited_urls", "|"))
 
 
@@ -61,7 +61,9 @@ def _bucket_sql(label: str) -> str:
     return f"WITH {EV} SELECT {ANSWER}, {label} AS bucket FROM ({CEO18})"
 
 
-FIRM = "MLV"
+IDENTITY = f"""WITH {EV}, {ES}, x AS (SELECT firm, event_type, day, min(event_id) AS id, count(DISTINCT event_id) AS n FROM ev WHERE firm IS NOT NULL AND day BETWEEN DATE '2014-01-01' AND DATE '2024-12-31' GROUP BY 1, 2, 3),
+    p AS (SELECT a.firm AS firm_ticker, strftime(a.day, '%Y-%m-%d') AS first_date, strftime(b.day, '%Y-%m-%d') AS second_date, date_diff('day', a.day, b.day) AS days, a.id AS id1, b.id AS id2, a.n * b.n AS n_pairs FROM x a JOIN x b ON a.firm = b.firm AND a.event_type = {{0}} AND b.event_type = {{1}} AND date_diff('day', a.day, b.day) BETWEEN {{2}} AND {{3}})"""
+
 TABLE: dict[str, tuple[object, str]] = {
     "a11_window_filter": (_corporate("A.1.1", E="CEO_change"), f"WITH {EV} SELECT {ANSWER} FROM ({CEO18})"),
     "a12_distinct_firms": (_corporate("A.1.2", E="CEO_change"), f"WITH {EV} SELECT firm AS firm_ticker, min(event_id) AS first_event, max(event_id) AS last_event FROM ({CEO18}) GROUP BY firm"),
@@ -89,7 +91,8 @@ TABLE: dict[str, tuple[object, str]] = {
     "b43_bucket_quarter": (_corporate("B.4.3", E="CEO_change", bucket_unit="quarter"), _bucket_sql("year(day) || '-Q' || quarter(day)")),
     "b44_type_union": (_corporate("B.4.4", E_set=["CEO_change", "CFO_change"]), f"WITH {EV} SELECT {ANSWER} FROM ev WHERE event_type IN ('CEO_change', 'CFO_change') AND {IN18} AND firm IS NOT NULL"),
     "provenance_urls": (_provenance, f"WITH {EV}, {ES} SELECT {ANSWER}, coalesce((SELECT string_agg(url, '|' ORDER BY url) FROM es WHERE es.event_id = x.event_id), '') AS cited_urls FROM (SELECT DISTINCT * FROM ev WHERE event_type = 'M&A_announce' AND firm IS NOT NULL AND day BETWEEN DATE '2014-01-01' AND DATE '2024-12-31') x"),
-    "provenance_of_pairs": (_provenance_pairs, f"""WITH {EV}, {ES}, p AS (SELECT DISTINCT a.firm AS firm_ticker, strftime(a.day, '%Y-%m-%d') AS e_trigger_anchor_date, strftime(b.day, '%Y-%m-%d') AS e_followup_anchor_date, date_diff('day', a.day, b.day) AS lag_days, a.event_id AS id1, b.event_id AS id2 FROM ev a JOIN ev b ON a.firm = b.firm AND a.event_type = 'M&A_announce' AND b.event_type = 'M&A_complete' AND date_diff('day', a.day, b.day) BETWEEN 0 AND 400 WHERE a.day BETWEEN DATE '2014-01-01' AND DATE '2024-12-31' AND b.day BETWEEN DATE '2014-01-01' AND DATE '2024-12-31'),
-        u AS (SELECT p.id1, p.id2, string_agg(DISTINCT url, '|' ORDER BY url) AS urls FROM (SELECT DISTINCT id1, id2 FROM p) p JOIN es ON es.event_id = p.id1 OR es.event_id = p.id2 GROUP BY 1, 2) SELECT p.*, coalesce(urls, '') AS cited_urls FROM p LEFT JOIN u ON u.id1 = p.id1 AND u.id2 = p.id2"""),
+    "provenance_of_pairs": (_provenance_pairs, IDENTITY.format("'M&A_announce'", "'M&A_complete'", 0, 120) + " SELECT p.*, coalesce((SELECT string_agg(DISTINCT url, '|' ORDER BY url) FROM es WHERE es.event_id IN (p.id1, p.id2)), '') AS cited_urls FROM p"),
+    "b12_by_identity": (lambda s, d: T.by_identity(corporate(s, d), {"W_start": "2014-01-01", "W_end": "2024-12-31"}, "CEO_change", "CFO_change", -30, 30), IDENTITY.format("'CEO_change'", "'CFO_change'", -30, 30) + " SELECT * FROM p"),
+    "b13_by_identity": (lambda s, d: T.by_identity(corporate(s, d), {"W_start": "2014-01-01", "W_end": "2024-12-31"}, "M&A_announce", "M&A_complete", 0, 120), IDENTITY.format("'M&A_announce'", "'M&A_complete'", 0, 120) + " SELECT * FROM p"),
     "batch_params_join": (_batch, f"WITH {EV}, q(qid, e, a, b) AS (VALUES " + ", ".join(f"('{q}', '{e}', DATE '{a}', DATE '{b}')" for q, e, a, b in QUESTIONS) + f") SELECT qid, {ANSWER} FROM ev JOIN q ON event_type = e AND day BETWEEN a AND b WHERE firm IS NOT NULL"),
 }

@@ -106,6 +106,19 @@ def b13(v: Views, p: Params) -> DataFrame:
     return pairs.select(F.col("firm").alias("firm_ticker"), F.date_format("day1", "yyyy-MM-dd").alias("e_trigger_anchor_date"), F.date_format("day2", "yyyy-MM-dd").alias("e_followup_anchor_date"), F.datediff("day2", "day1").cast("bigint").alias("lag_days"), "id1", "id2").distinct()
 
 
+def by_identity(v: Views, p: Params, first: str, second: str, low: int, high: int) -> DataFrame:
+    """Pairs as in B.1.2 and B.1.3, one row per firm and two dates, which is what identifies an answer: with the first event of either date and how many pairs there are.
+
+    Events of one firm, type and day are brought together before the join, so a firm with ever more events gives no more
+    rows than its days and the band allow; pairs of single events grow with the square.
+    """
+    days = lambda e: _typed(v, p, e).groupBy("firm", "day").agg(F.min("event_id").alias("event_id"), F.count_distinct("event_id").alias("n"))
+    a, b = days(first), days(second)
+    pairs = band_join(a.drop("n"), b.drop("n"), "firm", low, high)
+    sized = pairs.join(a.select("firm", F.col("day").alias("day1"), F.col("n").alias("n1")), ["firm", "day1"]).join(b.select("firm", F.col("day").alias("day2"), F.col("n").alias("n2")), ["firm", "day2"])
+    return sized.select(F.col("firm").alias("firm_ticker"), F.date_format("day1", "yyyy-MM-dd").alias("first_date"), F.date_format("day2", "yyyy-MM-dd").alias("second_date"), F.datediff("day2", "day1").cast("bigint").alias("days"), "id1", "id2", (F.col("n1") * F.col("n2")).alias("n_pairs"))
+
+
 def b14(announced: DataFrame, completed: DataFrame, p: Params) -> DataFrame:
     """Deals announced in a window and completed within a horizon, matched by hint or by buyer and target.
 
