@@ -21,8 +21,9 @@ from evtide.runtime import read, stash
 
 #: Words in a row that make a leak; characters of a q-gram; edits allowed inside the run.
 RUN, Q, EDITS = 13, 24, 0
-#: Items are taken in blocks of about so many characters, so that the index a task holds stays bounded.
-BLOCK_CHARS = 16_000_000
+#: Items are taken in blocks of about so many characters, so that the index a task holds stays
+#: bounded (about 40 bytes a character).
+BLOCK_CHARS = 4_000_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&(?:#\d+|#x[0-9A-Fa-f]+|[A-Za-z]+);")
 _ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))

@@ -30,7 +30,15 @@ _LINKS = f"""WITH RECURSIVE fa AS (SELECT firm_id AS id, lower(trim(atom_value,
     SELECT CASE WHEN id LIKE 'f%' THEN 'firm' ELSE 'event' END AS node_kind, substr(m, 2) AS group_id, substr(id, 2) AS member_id FROM g WHERE id <> m"""
 _LONG = "[^\\s\\p{Z}]{1000}" * 6 + "[^\\s\\p{Z}]"
 
+_FOLD = r"""list_filter(regexp_split_to_array(lower(strip_accents(translate(regexp_replace(regexp_replace({t}, '</?[A-Za-z][^<>]{{0,200}}>|&(?:#[0-9]+|[A-Za-z]+);', ' ', 'g'), '[\x{{AD}}\x{{200B}}-\x{{200D}}\x{{FEFF}}\x{{FE0F}}]', '', 'g'), '𝔞еоасрх', 'aeoacpx'))), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"""
+
+
+def _runs(name: str, id_column: str, text: str, table: str) -> str:
+    return f"{name}w AS (SELECT {id_column} AS id, {_FOLD.format(t=text)} AS w FROM {table} WHERE {text} <> ''), {name} AS (SELECT DISTINCT id, array_to_string(w[i:i + 12], ' ') AS run FROM (SELECT id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM {name}w WHERE len(w) > 12))"
+
+
 ORACLES: dict[str, str] = {
+    "p8_found": f"WITH {_runs('d', 'doc_id', 'text', 'documents')}, {_runs('i', 'item_id', 'item_text', 'eval_item')} SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM d JOIN i ON d.run = i.run",
     "p1_found": _LINKS,
     "p2_found": f"""WITH m AS (SELECT DISTINCT g.group_id, e.event_id, e.loaded_at, e.event_date_value AS d,
         CASE lower(trim(e.event_date_precision, {_BLANK})) WHEN 'day' THEN 0 WHEN 'month' THEN 1 WHEN 'quarter' THEN 2 WHEN 'year' THEN 3 WHEN 'approximate' THEN 3 ELSE 4 END AS p,
