@@ -39,16 +39,20 @@ def _shift(vertex: Column, level: int, seed: int) -> Column:
 
 
 def _decompose(edges: DataFrame, level: int, seed: int) -> DataFrame:
-    """(v, c): the cluster's centre of each vertex of edges (a, b); v <> c rows and centres alike."""
+    """(v, c): the cluster's centre of each vertex of edges (a, b); v <> c rows and centres alike.
+
+    t is the time at which a cluster reaches a vertex: hops less the centre's shift. Plain numbers in the aggregation
+    buffers keep it a hash aggregation. Of equal times either centre will do: both are in the vertex's component.
+    """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    own = F.struct((-_shift(F.col("v"), level, seed)).alias("t"), F.col("v").alias("c"))
-    first = F.struct((1 - _shift(F.col("u"), level, seed)).alias("t"), F.col("u").alias("c"))
-    state = both.groupBy("v").agg(F.min(first).alias("s")).select("v", F.least("s", own).alias("s"))
+    earliest = [F.min("t").alias("t"), F.min_by("c", "t").alias("c")]
+    first = both.select("v", F.col("u").alias("c"), (1 - _shift(F.col("u"), level, seed)).alias("t")).groupBy("v").agg(*earliest)
+    own = first.withColumn("own", -_shift(F.col("v"), level, seed))
+    state = own.select("v", F.least("t", "own").alias("t"), F.when(F.col("t") < F.col("own"), F.col("c")).otherwise(F.col("v")).alias("c"))
     for _ in range(HOPS - 1):
-        step = F.struct((F.col("s.t") + 1).alias("t"), F.col("s.c").alias("c"))
-        arrived = both.join(state.withColumnRenamed("v", "u"), "u").select("v", step.alias("s"))
-        state = state.unionByName(arrived).groupBy("v").agg(F.min("s").alias("s"))
-    return state.select("v", F.col("s.c").alias("c"))
+        arrived = both.join(state.withColumnRenamed("v", "u"), "u").select("v", (F.col("t") + 1).alias("t"), "c")
+        state = state.unionByName(arrived).groupBy("v").agg(*earliest)
+    return state.select("v", "c")
 
 
 def _contract(edges: DataFrame, centre: DataFrame) -> DataFrame:
