@@ -149,8 +149,8 @@ def p9_mix(spark: SparkSession, base: str) -> DataFrame:
 def p9_report(spark: SparkSession, base: str) -> DataFrame:
     mix = _mix(spark, base)
     used = mix.records().groupBy("source").agg(F.sum("tokens").alias("used"))
-    total = used.agg(F.sum("used").alias("all_used"))
-    return mix.report().join(used, "source", "left").crossJoin(F.broadcast(total)).select("source", "target_share", "max_repeats", "size", "quota", "out_of_reach", F.coalesce(F.col("used") / F.col("all_used"), F.lit(0.0)).alias("share_reached"))
+    total = used.agg(F.sum("used")).scalar()
+    return mix.report().join(used, "source", "left").select("source", "target_share", "max_repeats", "size", "quota", "out_of_reach", F.coalesce(F.try_divide(F.col("used"), total), F.lit(0.0)).alias("share_reached"))
 
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:

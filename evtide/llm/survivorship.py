@@ -61,7 +61,7 @@ def best_records(events: DataFrame, details: DataFrame, groups: DataFrame) -> Da
         Field("event_date", F.col("day").isNotNull(), F.col("precision"), F.col("day")),
         Field("deal_value", F.col("deal").isNotNull(), F.lit(0), F.col("deal")),
         Field("headline", F.col("headline").isNotNull(), -F.length("headline"), F.col("headline")),
-        Field("extraction", F.col("extraction").isNotNull(), -F.col("extraction"), F.col("extraction")),
+        Field("extraction", F.col("extraction").isNotNull(), -F.col("extraction").cast("bigint"), F.col("extraction")),
     ]
     return survivors(event_members(events, details, groups), "group_id", "event_id", "loaded_at", fields)
 

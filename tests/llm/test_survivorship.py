@@ -32,6 +32,8 @@ def test_nothing_known_and_empty(spark):
     r = run(spark, [("a", None, None, None, "[]", None, "x")], [], [(1, "a", "")])
     assert r[1].event_date is None and r[1].deal_value is None and r[1].headline is None and r[1].extraction is None
     assert run(spark, [], [], []) == {}
+    r = run(spark, [("a", None, None, None, None, -(2**31), "x"), ("b", None, None, None, None, 2**31 - 1, "x")], [("a", float("inf"), None, None, None, "m")], [(1, "a", ""), (1, "b", "")])
+    assert (r[1].extraction.member, r[1].deal_value.member) == ("b", "a")
 
 
 def test_headlines(spark):
