@@ -159,7 +159,7 @@ def in_usd(details: DataFrame, rates: DataFrame) -> DataFrame:
     Figure, currency and scale come from the text where it states them, else from the columns, else plain units and US
     dollars; a figure written in a text without a scale word is in plain units. Amounts that are null, NaN or not
     positive count only with a figure in the text. Unknown currency words count as none; a currency without a rate
-    gives null. Repeated rows give one row; extra columns are not used; null event ids are ignored.
+    gives null, and so does a value beyond 64 bits. Repeated rows give one row; extra columns are not used; null event ids are ignored.
     """
     columns = ["event_id", "deal_value_amount", "deal_value_currency", "deal_value_scale", "deal_value_text", "per_share_price_amount", "per_share_price_text"]
     rows = details.select(*columns).where("event_id is not null").distinct()
@@ -170,17 +170,22 @@ def in_usd(details: DataFrame, rates: DataFrame) -> DataFrame:
     out = spelt
     for c in ("text", "price", "currency", "scale"):
         out = out.join(units.select(F.col("spelling").alias(f"s_{c}"), F.struct("currency", "scale", "minor", "worded").alias(f"u_{c}")), f"s_{c}", "left")
-    out = out.join(F.broadcast(rates.groupBy(F.upper(F.trim("currency")).alias("code")).agg(F.max("usd_per_unit").alias("r")).agg(F.map_from_entries(F.collect_list(F.struct("code", F.col("r").cast(DecimalType(18, 8)).alias("r")))).alias("rates"))))
     positive = lambda c: F.when((F.col(c) > 0) & ~F.isnan(c) & (F.col(c) < 1e20), F.col(c).cast(EXACT))
     stated = F.coalesce(figure(F.col("deal_value_text")), F.col("u_text.worded"))
     currency = F.coalesce("u_text.currency", "u_currency.currency", F.lit("USD"))
     scale = F.coalesce("u_text.scale", F.when(stated.isNotNull(), F.lit(1).cast(EXACT)), "u_scale.scale", F.lit(1).cast(EXACT))
     price = F.coalesce(figure(F.col("per_share_price_text")), F.col("u_price.worded"))
     price_currency = F.coalesce(F.nullif(F.col("u_price.currency"), F.lit("")), currency)
-    usd = F.coalesce(stated, positive("deal_value_amount")).cast("decimal(30,6)") * scale.cast("decimal(13,0)") * F.col("rates")[currency]
-    cents = F.coalesce(price, positive("per_share_price_amount")).cast("decimal(24,8)") * F.coalesce("u_price.minor", F.lit(1)).cast("decimal(3,2)") * F.col("rates")[price_currency] * F.lit(100)
+    amounts = out.select(
+        "event_id", "deal_value_amount", "per_share_price_amount", currency.alias("code"), price_currency.alias("price_code"),
+        F.try_multiply(F.coalesce(stated, positive("deal_value_amount")).try_cast("decimal(30,6)"), scale.cast("decimal(13,0)")).alias("value"),
+        F.try_multiply(F.coalesce(price, positive("per_share_price_amount")).try_cast("decimal(24,8)"), F.coalesce("u_price.minor", F.lit(1)).cast("decimal(3,2)")).alias("price"),
+    )
+    rate = rates.groupBy(F.upper(F.trim("currency")).alias("code")).agg(F.max("usd_per_unit").cast("decimal(18,8)").alias("rate"))
+    rate = broadcast_if_small(rate)
+    rated = amounts.join(rate, "code", "left").join(rate.select(F.col("code").alias("price_code"), F.col("rate").alias("price_rate")), "price_code", "left")
     whole = lambda x: F.when(x > 0, F.round(x, 0).try_cast("bigint"))
-    return out.select("event_id", "deal_value_amount", "per_share_price_amount", whole(usd).alias("deal_usd"), whole(cents).alias("price_cents"))
+    return rated.select("event_id", "deal_value_amount", "per_share_price_amount", whole(F.try_multiply("value", "rate")).alias("deal_usd"), whole(F.try_multiply("price", (F.col("price_rate") * 100).cast("decimal(18,8)"))).alias("price_cents"))
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:

@@ -106,7 +106,7 @@ def identity_keys(s: SparkSession, d: str) -> DataFrame:
     m = read(s, d, "ma_details").select("event_id", F.lower(F.trim("cluster_key_hint")).alias("hint"), C.value_bucket(F.col("deal_value_amount"), F.col("deal_value_scale")).alias("bucket")).distinct()
     hints = m.where("hint is not null and hint not in ('', '-', 'n/a', 'none', 'null', 'tbd', 'unknown')").select("event_id", F.concat(F.lit("hint|"), "hint").alias("k"))
     dated = e.where("firm_id is not null and event_date_value is not null").select("event_id", F.concat_ws("|", F.lit("date"), "event_type", "firm_id", F.col("event_date_value").cast("string")).alias("k"))
-    valued = e.where("firm_id is not null").join(m.where("bucket is not null").select("event_id", "bucket").distinct(), "event_id").select("event_id", F.concat_ws("|", F.lit("value"), "event_type", "firm_id", F.col("bucket").cast("decimal(38,0)").cast("string")).alias("k"))
+    valued = e.where("firm_id is not null").join(m.where("bucket is not null").select("event_id", "bucket").distinct(), "event_id").select("event_id", F.concat_ws("|", F.lit("value"), "event_type", "firm_id", F.col("bucket").try_cast("decimal(38,0)").cast("string")).alias("k"))
     return hints.unionByName(dated).unionByName(valued).distinct()
 
 

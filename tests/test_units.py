@@ -35,6 +35,8 @@ CASES = [
     ((0.0, "USD", "million", "terms were not disclosed", -1.0, None), (None, None)),
     ((None, None, None, None, None, None), (None, None)),
     ((NAN, "USD", None, "", NAN, ""), (None, None)),
+    ((1e19, "EUR", "trillion", "USD " + "9" * 29 + " trillion", 1e19, "9" * 40 + " yen per share"), (None, None)),
+    ((float("inf"), "USD", None, None, 1e300, None), (None, None)),
     ((2.0, "zorkmid", "gross", "n/a", None, "x" * 20000), (2, None)),
 ]
 
