@@ -17,7 +17,7 @@ def idx() -> Column:
 def records(s: SparkSession, d: str) -> DataFrame:
     """The members of the duplicate groups, distinct; they are met in the order of loading."""
     e = read(s, d, "corp_events").select("event_id", "event_type", "event_status", "event_date_basis", "event_date_text", "event_date_value", F.lower(F.trim("event_date_precision")).alias("precision"), "raw_extraction_count", "loaded_at", F.col("loaded_at").cast("date").alias("day")).distinct()
-    return read(s, d, "dup_group").distinct().join(e, "event_id")
+    return read(s, d, "dup_group").select("group_id", "event_id").distinct().join(e, "event_id")
 
 
 REC = """rec AS (SELECT DISTINCT g.group_id, e.event_id, e.event_type, e.event_status, e.event_date_basis, e.event_date_text, e.event_date_value, lower(trim(e.event_date_precision)) AS "precision", e.raw_extraction_count, e.loaded_at, CAST(e.loaded_at AS DATE) AS day FROM dup_group g JOIN corp_events e ON g.event_id = e.event_id)"""

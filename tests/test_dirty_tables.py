@@ -1,0 +1,24 @@
+import pytest
+
+from evtide.queries import QUERIES
+from tests.dirty import copy, rows
+
+
+@pytest.fixture(scope="module")
+def empty(base, tmp_path_factory):
+    return copy(base, tmp_path_factory.mktemp("empty"), empty=True)
+
+
+@pytest.fixture(scope="module")
+def dirty(base, tmp_path_factory):
+    return copy(base, tmp_path_factory.mktemp("dirty"), empty=False)
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_empty_tables(spark, empty, name):
+    QUERIES[name](spark, empty).collect()
+
+
+@pytest.mark.parametrize("name", ["p3_found", "p5_found", "p7_found", "merge_majority", "merge_best_date", "deal_slot_pivot", "firm_canonical_cc", "event_cluster_cc", "provenance_urls", "b13_directional_lag", "candidate_window_join"])
+def test_nulls_repeats_and_clashing_columns_change_nothing(spark, base, dirty, name):
+    assert rows(QUERIES[name](spark, dirty)) == rows(QUERIES[name](spark, base))
