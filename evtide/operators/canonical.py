@@ -29,6 +29,10 @@ class Star:
     companies: DataFrame
     sources: DataFrame
     deals: DataFrame
+    ma_details: DataFrame
+    executive_change_details: DataFrame
+    ipo_details: DataFrame
+    stock_split_details: DataFrame
 
 
 def day(c: str) -> Column:
@@ -114,6 +118,57 @@ def deal_keys(records: DataFrame, resolved: DataFrame) -> DataFrame:
     return x.where("hint <> ''").select("rid", F.concat_ws("|", F.lit("ck"), "hint").alias("k")).unionByName(both.select("rid", F.explode(F.array_compact(signs)).alias("k"))).distinct()
 
 
+def voted(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(cluster, fields): the majority of each field, in one pass over (cluster, field, value)."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields]))
+    long = df.select("cluster", "rid", each.alias("e")).select(F.struct("cluster", "e.field").alias("k"), "e.v", "rid")
+    won = M.majority(long, "k", "v", F.col("rid"))
+    return won.groupBy(F.col("k.cluster").alias("cluster")).agg(*[F.max(F.when(F.col("k.field") == f, F.col("v"))).cast(df.schema[f].dataType).alias(f) for f in fields])
+
+
+def details(records: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The details of M&A, of executive changes, IPOs and stock splits: one row per event, its type that of the first record."""
+    d, rid, on = "event.details", F.col("rid"), F.col("article_date")
+    members = records.join(clusters, "rid")
+    kinds = members.groupBy("cluster").agg(F.min_by("event.event_type", "rid").alias("kind"))
+    members = members.join(kinds, "cluster")
+    date = lambda c: M.best_date(day(f"{d}.{c}"), F.col(f"{d}.{c}.precision"), on, rid).alias(c)
+    money = lambda c: M.latest_money(*[F.col(f"{d}.{c}.{k}") for k in ("amount", "currency", "scale")], on, rid).alias(c)
+    longest = lambda c: M.longest(F.col(f"{d}.{c}"), on, rid).alias(c)
+    latest = lambda c: M.latest(F.col(f"{d}.{c}"), on, rid).alias(c)
+    flag = lambda c: M.any_true(F.col(f"{d}.{c}")).alias(c)
+
+    def table(of: DataFrame, votes: dict[str, str], merged: list[Column], out: list) -> DataFrame:
+        one = of.groupBy("cluster", "kind").agg(*merged)
+        chosen = voted(of.select("cluster", "rid", *[F.col(path).alias(c) for c, path in votes.items()]), list(votes))
+        return one.join(chosen, "cluster").select(C.surrogate(F.col("cluster")).alias("event_id"), *out)
+
+    own = lambda *names: {c: f"{d}.{c}" for c in names}
+    ma = table(
+        members.where(F.col("kind").startswith("M&A")), own("ma_event_subtype", "transaction_form", "consideration_type") | {"cluster_key_hint": "event.duplicate_cluster_key_hint"},
+        [longest("deal_name"), latest("deal_status"), money("deal_value"), money("per_share_price"), *map(date, ("announcement_date", "signing_date", "expected_closing_date", "closing_date")), longest("strategic_rationale")],
+        [F.coalesce("ma_event_subtype", "kind").alias("ma_event_subtype"), "deal_name", "transaction_form", "deal_status", "consideration_type", *[F.col(f"deal_value.{k}").alias(f"deal_value_{k}") for k in ("amount", "currency", "scale")], F.col("per_share_price.amount").alias("per_share_price_amount"), "announcement_date", "signing_date", "expected_closing_date", "closing_date", "cluster_key_hint", "strategic_rationale"],
+    )
+    person = F.min_by(f"{d}.person", F.when(F.col(f"{d}.person.full_name") != "", rid)).alias("person")
+    executive = table(
+        members.where(F.col("kind").isin("CEO_change", "CFO_change")), own("action", "departure_reason", "appointment_source"),
+        [person, longest("prior_title"), longest("new_title"), date("announcement_date"), date("effective_date"), flag("is_interim_or_acting")],
+        [F.substring("kind", 1, 3).alias("role"), "action", F.col("person.full_name").alias("person_full_name"), F.col("person.normalized_name").alias("person_normalized"), "departure_reason", "appointment_source", "prior_title", "new_title", "announcement_date", "effective_date", "is_interim_or_acting"],
+    )
+    ipo = table(
+        members.where("kind = 'IPO'"), own("offering_type", "exchange", "ticker"),
+        [latest("ipo_stage"), flag("is_first_public_listing"), flag("is_spac_ipo"), date("pricing_date"), date("first_trading_date"), money("offer_price")],
+        ["ipo_stage", "offering_type", "is_first_public_listing", "is_spac_ipo", "exchange", "ticker", "pricing_date", "first_trading_date", F.col("offer_price.amount").alias("offer_price_amount"), F.col("offer_price.currency").alias("offer_price_currency")],
+    )
+    ratio = ("ratio_text", "new_shares", "old_shares", "share_count_multiplier")
+    split = table(
+        members.where("kind = 'Stock_split'"), own("split_type") | {c: f"{d}.ratio.{c}" for c in ratio},
+        [date("announcement_date"), date("effective_date")],
+        ["split_type", *ratio, "announcement_date", "effective_date"],
+    )
+    return ma, executive, ipo, split
+
+
 def canonicalise(records: DataFrame, register_singletons: bool = False) -> Star:
     """The star schema of extraction records (rid, article_id, article_date, title, url, event); rid is unique and orders them."""
     records = stash(records, "records")
@@ -135,7 +190,7 @@ def canonicalise(records: DataFrame, register_singletons: bool = False) -> Star:
     merged = r.groupBy("cluster").agg(
         F.min_by("event_type", "rid").alias("event_type"),
         F.min_by("firm", F.when(F.col("firm").isNotNull(), rid)).alias("firm"),
-        M.best_date(F.col("on"), F.col("precision"), F.col("article_date"), rid).alias("event_date_value"),
+        M.best_date(F.when(F.col("on").isNotNull(), F.struct("on", "precision")), F.col("precision"), F.col("article_date"), rid).alias("dated"),
         M.longest(F.col("date_text"), F.col("article_date"), rid).alias("event_date_text"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("headline").isNotNull(), F.struct("rid", "headline")))), lambda x: x["headline"]).alias("headline_summaries"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("geography")))).alias("geography"),
@@ -144,7 +199,7 @@ def canonicalise(records: DataFrame, register_singletons: bool = False) -> Star:
     for c in ("event_status", "basis"):
         merged = merged.join(M.majority(r, "cluster", c, rid), "cluster", "left")
     events = merged.join(deals, "cluster", "left").join(firm_table.select("firm", "canonical_ticker"), "firm", "left")
-    events = events.select(event_id, "event_type", C.surrogate(F.col("firm")).alias("firm_id"), F.col("canonical_ticker").alias("firm_ticker"), "event_date_value", "event_date_text", F.col("basis").alias("event_date_basis"), "headline_summaries", "geography", "event_status", "raw_extraction_count", "deal_id")
+    events = events.select(event_id, "event_type", C.surrogate(F.col("firm")).alias("firm_id"), F.col("canonical_ticker").alias("firm_ticker"), F.col("dated.on").alias("event_date_value"), F.col("dated.precision").alias("event_date_precision"), "event_date_text", F.col("basis").alias("event_date_basis"), "headline_summaries", "geography", "event_status", "raw_extraction_count", "deal_id")
 
     roles = named.where("slot in ('acquirer', 'target', 'seller', 'primary')").join(clusters, "rid").select("cluster", F.col("slot").alias("role"), "firm", F.col("c.name").alias("name"), F.col("c.normalized_name").alias("normalized_name"), F.col("c.ticker").alias("ticker"), F.struct("rid", "pos").alias("i"))
     listed = roles.where("normalized_name <> ''").groupBy("cluster", "role", "normalized_name").agg(*[F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col("i"))).alias(c) for c in ("firm", "name", "ticker")])
@@ -153,4 +208,4 @@ def canonicalise(records: DataFrame, register_singletons: bool = False) -> Star:
     ordered = events.where("deal_id is not null").join(records.join(clusters, "rid").groupBy("cluster").agg(F.min("rid").alias("first")).select(event_id, "first"), "event_id")
     slots = M.slots(ordered, "deal_id", F.col("event_type"), {"M&A_announce": "announce_event_id", "M&A_complete": "complete_event_id", "M&A_cancel": "cancel_event_id"}, "event_id", F.col("first"))
     firm_rows = firm_table.select(C.surrogate(F.col("firm")).alias("firm_id"), "canonical_ticker", "canonical_name", "name_raw").join(aliases.groupBy("firm_id").agg(F.count(F.lit(1)).cast("int").alias("n_aliases")), "firm_id", "left")
-    return Star(firm_rows, aliases, events, companies, sources, slots)
+    return Star(firm_rows, aliases, events, companies, sources, slots, *details(records, clusters))
