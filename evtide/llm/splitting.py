@@ -58,12 +58,19 @@ def strengths(text: str) -> np.ndarray:
     return out
 
 
+def _word(text: str, cut: np.ndarray, low: int, high: int) -> int:
+    """The first start of a word over low <= i <= high, else low."""
+    words = [i for i in np.flatnonzero(cut[low : max(low, high) + 1]) + low if not text[i : i + 1].isspace()]
+    return int(words[0]) if words else low
+
+
 def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP, slack: int = SLACK) -> list[tuple[int, int, int]]:
     """(start, end, strength of the cut at end) of the pieces; together they cover the text in order.
 
     Each piece has at most limit characters. The strongest cut in the window that leaves the piece longer than half the
-    limit is taken, else the strongest in what is left of the window. Only where a piece would have no boundary at all
-    is the overlap given up, and only where a stretch without white space is longer than the limit is it cut anywhere.
+    limit is taken, else the strongest in what is left of the window. Only where a stretch without white space fits a
+    piece but not behind the overlap is as much of the overlap given up as it needs, and only where one is longer than
+    the limit is it cut anywhere, with the overlap kept.
     """
     n = len(text)
     if n <= limit:
@@ -85,15 +92,15 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP, slack: int = SL
         end, strength = table(max(done, start + limit // 2) + 1, start + limit + 1)
         if strength == NONE and done < start + limit // 2:
             end, strength = table(done + 1, start + limit + 1)
-        if strength == NONE and start < done:  # a long stretch: give it the whole piece, starting at its first character
-            begin, at_word = table(start + 1, done + 1)
-            start = begin if at_word != NONE else done
-            continue
+        if strength == NONE and start < done and cut[done] != NONE:  # a stretch begins at done
+            stop = done + 1 + int(next(iter(np.flatnonzero(cut[done + 1 : done + limit + 1])), n - done - 1))
+            if stop - done <= limit:  # it fits a piece: give up as much of the overlap as that takes
+                start = _word(text, cut, stop - limit, min(stop - limit + slack, done))
+                continue
         pieces.append((start, end, strength))
         done = end
         low, high = max(end - overlap, start + 1), min(end - overlap + slack, end)
-        words = [i for i in np.flatnonzero(cut[low : high + 1]) + low if not text[i : i + 1].isspace()]
-        start = int(words[0]) if words else low
+        start = _word(text, cut, low, high)
 
 
 def _pieces(id_type: str):

@@ -21,6 +21,27 @@ def test_pieces_cover_the_text(text):
     assert any(s == S.NONE for *_, s in pieces) == bool(re.search(r"\S{61}", text))
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PART, max_size=60).map("".join))
+def test_overlap_is_kept(text):
+    limit, overlap, slack = 60, 10, 3
+    cut = S.strengths(text)
+    pieces = S.split(text, limit, overlap, slack)
+    for (a, b, _), (c, _, _) in zip(pieces, pieces[1:]):
+        least = min(overlap - slack, b - a - 1)
+        ahead = next((i for i in range(b + 1, len(text)) if cut[i] != S.NONE), len(text)) - b
+        if cut[b] != S.NONE and ahead <= limit:  # a stretch that fits a piece goes before the overlap
+            least = min(least, limit - ahead - slack)
+        assert b - c >= least
+
+
+def test_overlap_in_long_stretches():
+    pieces = S.split("word " * 1000 + "x" * 20000)
+    assert pieces[0][1] == 5000 and all(S.OVERLAP - S.SLACK <= b - c <= S.OVERLAP for (_, b, _), (c, _, _) in zip(pieces, pieces[1:]))
+    fits = S.split("word " * 1000 + "x" * 5500 + " " + "word " * 1000)
+    assert fits[0][1] == 5000 and 400 <= 5000 - fits[1][0] <= 500 and all(s != S.NONE for *_, s in fits)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=70), st.data())
 def test_range_maximum(values, data):
