@@ -48,7 +48,7 @@ def longest_headline(summaries: Column) -> Column:
 def event_members(events: DataFrame, details: DataFrame, groups: DataFrame) -> DataFrame:
     """The members of each group with the few derived columns the survivorship needs, derived before any shuffle."""
     precision = F.coalesce(F.create_map(*[F.lit(x) for kv in PRECISION_RANK.items() for x in kv])[clean_key(F.col("event_date_precision"))], F.lit(OTHER_PRECISION))
-    slim = events.select("event_id", "loaded_at", F.col("event_date_value").alias("day"), precision.alias("precision"), longest_headline(F.col("headline_summaries")).alias("headline"), F.col("raw_extraction_count").alias("extraction"))
+    slim = events.select("event_id", "loaded_at", F.col("event_date_value").alias("day"), precision.alias("precision"), clean_key(F.col("event_date_precision")).alias("precision_name"), longest_headline(F.col("headline_summaries")).alias("headline"), F.col("raw_extraction_count").alias("extraction"))
     amount = F.col("deal_value_amount")
     deal = F.struct(F.col("deal_value_amount").alias("amount"), F.col("deal_value_currency").alias("currency"), F.col("deal_value_scale").alias("scale"), F.col("deal_value_text").alias("text"))
     deals = details.where((amount > 0) & ~F.isnan(amount)).groupBy("event_id").agg(F.max(deal).alias("deal"))
@@ -56,9 +56,9 @@ def event_members(events: DataFrame, details: DataFrame, groups: DataFrame) -> D
 
 
 def best_records(events: DataFrame, details: DataFrame, groups: DataFrame) -> DataFrame:
-    """The surviving record of each group: event_date, deal_value (amount, currency, scale and text together), headline, extraction."""
+    """The surviving record of each group: event_date (day and precision), deal_value (amount, currency, scale and text together), headline, extraction."""
     fields = [
-        Field("event_date", F.col("day").isNotNull(), F.col("precision"), F.col("day")),
+        Field("event_date", F.col("day").isNotNull(), F.col("precision"), F.struct("day", F.col("precision_name").alias("precision"))),
         Field("deal_value", F.col("deal").isNotNull(), F.lit(0), F.col("deal")),
         Field("headline", F.col("headline").isNotNull(), -F.length("headline"), F.col("headline")),
         Field("extraction", F.col("extraction").isNotNull(), -F.col("extraction").cast("bigint"), F.col("extraction")),
@@ -66,10 +66,17 @@ def best_records(events: DataFrame, details: DataFrame, groups: DataFrame) -> Da
     return survivors(event_members(events, details, groups), "group_id", "event_id", "loaded_at", fields)
 
 
+def surviving(events: DataFrame, details: DataFrame, groups: DataFrame) -> DataFrame:
+    """best_records flat: the date with its precision, the deal value whole, and beside each field the event that supplies it."""
+    best = best_records(events, details, groups)
+    supplied = lambda f: F.col(f"{f}.member").alias(f"{f}_from")
+    date = [F.col("event_date.value.day").alias("event_date"), F.col("event_date.value.precision").alias("event_date_precision"), supplied("event_date")]
+    deal = [F.col(f"deal_value.value.{k}").alias(f"deal_{k}") for k in ("amount", "currency", "scale", "text")]
+    return best.select("group_id", *date, *deal, supplied("deal_value"), F.col("headline.value").alias("headline"), supplied("headline"), F.col("extraction.value").alias("extraction"), supplied("extraction"))
+
+
 def p2_survivors(spark: SparkSession, base: str) -> DataFrame:
-    best = best_records(read(spark, base, "corp_events"), read(spark, base, "ma_details"), read(spark, base, "dup_group"))
-    flat = best.select("group_id", F.col("event_date.value").alias("event_date"), F.col("deal_value.value.amount").alias("deal_amount"), F.col("headline.value").alias("headline"), F.col("extraction.value").alias("extraction"))
-    return flat
+    return surviving(read(spark, base, "corp_events"), read(spark, base, "ma_details"), read(spark, base, "dup_group"))
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:

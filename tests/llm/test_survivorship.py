@@ -45,3 +45,15 @@ def test_headlines(spark):
 def test_null_recency_is_earliest_then_smaller_member(spark):
     r = run(spark, [("b", None, date(2020, 1, 1), "day", None, 1, ""), ("a", None, date(2020, 1, 1), "day", None, 1, ""), ("c", datetime(2000, 1, 1), date(2020, 1, 1), "day", None, 1, "")], [], [(1, "a", ""), (1, "b", ""), (1, "c", ""), (2, "a", ""), (2, "b", "")])
     assert (r[1].event_date.member, r[2].event_date.member) == ("c", "a")
+
+
+def test_surviving_record_is_whole(spark):
+    events = [("a", datetime(2020, 1, 1), date(2019, 1, 1), " MONTH ", '["h"]', 3, "x"), ("b", datetime(2021, 1, 1), date(2019, 1, 2), None, None, 5, "x")]
+    details = [("a", 12.0, "JPY", "billion", "12 bn yen", "m")]
+    df = S.surviving(spark.createDataFrame(events, EVENTS), spark.createDataFrame(details, DETAILS), spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "group_id bigint, event_id string"))
+    one, two = sorted(df.collect())
+    assert one.asDict() == {
+        "group_id": 1, "event_date": date(2019, 1, 1), "event_date_precision": "month", "event_date_from": "a", "deal_amount": 12.0, "deal_currency": "JPY", "deal_scale": "billion", "deal_text": "12 bn yen",
+        "deal_value_from": "a", "headline": "h", "headline_from": "a", "extraction": 5, "extraction_from": "b",
+    }
+    assert two.deal_amount is None and two.deal_value_from is None and two.event_date_from == "b" and two.event_date_precision is None
