@@ -124,6 +124,6 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_plan(spark: SparkSession, base: str) -> DataFrame:
-    """The groups with their files and bytes."""
-    groups = plan_groups(read(spark, base, "article_files").select("file_id", "file_path", "n_bytes"), 1 << 20)
+    """The groups that p5_found writes, with their files and bytes."""
+    groups = plan_groups(read(spark, base, "article_files").select("file_id", "file_path", "n_bytes"))
     return groups.groupBy("grp").agg(F.count(F.lit(1)).alias("files"), F.sum("n_bytes").alias("bytes"))

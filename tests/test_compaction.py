@@ -53,3 +53,18 @@ def test_groups_are_intervals_of_the_running_sum(spark, sizes):
     if sizes:
         total = plan.groupby("grp")["n_bytes"].sum()
         assert total.max() < 200 and plan["grp"].max() <= sum(s or 0 for s in sizes) // 100
+
+
+def test_registered_plan_uses_the_production_target(spark, tmp_path):
+    rows = [(i, f"p/{i}", 50 << 20, None) for i in range(4)]
+    spark.createDataFrame(rows, "file_id bigint, file_path string, n_bytes bigint, content string").write.parquet(f"{tmp_path}/article_files.parquet")
+    got = {r.grp: (r.files, r.bytes) for r in C.p5_plan(spark, str(tmp_path)).collect()}
+    assert got == {0: (3, 150 << 20), 1: (1, 50 << 20)}
+
+
+def test_several_groups_are_rewritten(spark, tmp_path):
+    contents = [json.dumps([{"article_id": f"{i}-{k}", "attempt": k} for k in range(3)]) for i in range(12)] + [json.dumps({"article_id": "0-0", "attempt": 0})]
+    path = f"{tmp_path}/out"
+    got = C.compact(files(spark, contents), path, target=300).toPandas()
+    assert got["grp"].nunique() > 2 and len(got) == 36 and not got.duplicated(["article_id", "attempt"]).any()
+    assert spark.read.parquet(path).selectExpr("grp", "input_file_name() f").distinct().groupBy("f").count().where("count > 1").count() == 0
