@@ -16,6 +16,7 @@ QUERIES: dict[str, Query] = {
     "p5_found": compaction.p5_found,
     "p5_plan": compaction.p5_plan,
     "p7_found": timestamps.p7_found,
+    "p7_posteriors": timestamps.p7_posteriors,
 }
 #: A flat JSON object, braces inside its strings included.
 _OBJECT = r"""\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*\}"""
