@@ -7,42 +7,55 @@ its first byte falls into. The records are rewritten group by group and the coun
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtide.runtime import read, shared_dir, stash
+from evtide.runtime import broadcast_if_small, read, shared_path, stash
 
-#: Bytes of content per group.
-TARGET_BYTES = 128 << 20
-#: Hash ranges of the manifest's order: no task sums the whole manifest.
-RANGES = 512
+#: Bytes of content per group: so much, but not more than a LEAST_GROUPS-th of all content, and at least SMALLEST.
+LARGEST, SMALLEST, LEAST_GROUPS = 128 << 20, 1 << 20, 8
+#: Files per range of the manifest's order: what one task sums.
+FILES_PER_RANGE = 100_000
 
 
-def plan_groups(manifest: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
-    """(file_id, n_bytes, grp): groups of about target bytes, in the order of folder hash and path.
+def target_bytes(manifest: DataFrame) -> int:
+    total = manifest.agg(F.sum(F.greatest("n_bytes", F.lit(0)))).first()[0] or 0
+    return max(SMALLEST, min(LARGEST, -(-total // LEAST_GROUPS)))
 
-    A file is never split: a larger one makes its group larger. Null sizes count as 0. The prefix sums run per hash
-    range of the folder and start where the ranges before end.
+
+def plan_groups(manifest: DataFrame, target: int | None = None) -> DataFrame:
+    """(file_id, n_bytes, grp): groups of about target bytes (null: target_bytes), in the order of the paths.
+
+    A file is never split: a larger one makes its group larger. Null sizes count as 0. The manifest is frozen in ranges
+    of its order, cut by number of files wherever folders begin or end; the prefix sums run inside each range and start
+    where the ranges before end.
     """
+    spark = manifest.sparkSession
+    target = target or target_bytes(manifest)
+    ranges = max(1, -(-manifest.count() // FILES_PER_RANGE))
     manifest.createOrReplaceTempView("evtide_manifest")
-    return manifest.sparkSession.sql(
+    frozen = spark.sql(
         f"""
-        WITH ranged AS (SELECT file_id, greatest(coalesce(n_bytes, 0), 0) AS n_bytes, coalesce(file_path, '') AS path,
-                               pmod(xxhash64(regexp_extract(coalesce(file_path, ''), '^(.*)/[^/]*$', 1)), {RANGES}) AS r FROM evtide_manifest),
-        sums AS (SELECT r, sum(n_bytes) AS total FROM ranged GROUP BY r),
+        SELECT *, spark_partition_id() AS r FROM (SELECT /*+ REPARTITION_BY_RANGE({ranges}, path, file_id) */ * FROM (
+            SELECT file_id, greatest(coalesce(n_bytes, 0), 0) AS n_bytes, coalesce(file_path, '') AS path FROM evtide_manifest))
+        """
+    )
+    stash(frozen, "manifest").createOrReplaceTempView("evtide_frozen")
+    return spark.sql(
+        f"""
+        WITH sums AS (SELECT r, sum(n_bytes) AS total FROM evtide_frozen GROUP BY r),
         starts AS (SELECT r, coalesce(sum(total) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sums),
-        inside AS (SELECT *, sum(n_bytes) OVER (PARTITION BY r ORDER BY path, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_bytes AS first FROM ranged)
+        inside AS (SELECT *, sum(n_bytes) OVER (PARTITION BY r ORDER BY path, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_bytes AS first FROM evtide_frozen)
         SELECT file_id, n_bytes, cast((start + first) DIV {target} AS bigint) AS grp FROM inside JOIN starts USING (r)
         """
     )
 
 
 def whole_records(content: str) -> Iterator[tuple[str, int | None, str]]:
-    """(article_id, attempt, JSON) of each complete object with an article_id in a file's content.
+    """(article_id, attempt, JSON as it stands) of each complete object with an article_id in a file's content.
 
     Lines, arrays and pretty-printed objects alike; what is broken off or no JSON is passed over, and so are objects
     without an id. Objects inside another record belong to it; inside anything else they are records themselves.
@@ -52,22 +65,13 @@ def whole_records(content: str) -> Iterator[tuple[str, int | None, str]]:
         try:
             value, end = decode(content, at)
         except (ValueError, RecursionError):
-            end = at + 1
-        else:
-            yield from _records_in(value)
-        at = content.find("{", end) if end < n else -1
-
-
-def _records_in(value: object) -> Iterator[tuple[str, int | None, str]]:
-    if isinstance(value, dict):
+            value, end = {}, at + 1
         key = value.get("article_id")
         if isinstance(key, (str, int)) and not isinstance(key, bool) and str(key).strip():
-            yield str(key).strip(), _whole(value.get("attempt")), json.dumps(value, ensure_ascii=False, sort_keys=True)
-            return
-        value = list(value.values())
-    if isinstance(value, list):
-        for x in value:
-            yield from _records_in(x)
+            yield str(key).strip(), _whole(value.get("attempt")), content[at:end]
+        else:  # a brace inside a string can't begin an object with a key
+            end = at + 1
+        at = content.find("{", end) if end < n else -1
 
 
 def _whole(value: object) -> int | None:
@@ -84,37 +88,42 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.astype({"attempt": "Int64"})
 
 
-def records_of(files: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
+def records_of(files: DataFrame, target: int | None = None) -> DataFrame:
     """(grp, file_id, article_id, attempt, record) of every file; files without content give none."""
     groups = plan_groups(files.select("file_id", "file_path", "n_bytes"), target)
     contents = files.select("file_id", "content").where("content is not null and content like '%{%'")
-    return contents.join(groups.select("file_id", "grp"), "file_id").mapInPandas(_parsed, "grp bigint, file_id bigint, article_id string, attempt bigint, record string")
+    return contents.join(broadcast_if_small(stash(groups.select("file_id", "grp"), "groups")), "file_id").mapInPandas(_parsed, "grp bigint, file_id bigint, article_id string, attempt bigint, record string")
 
 
-def compact(files: DataFrame, path: str | None = None, target: int = TARGET_BYTES) -> DataFrame:
+def compact(files: DataFrame, path: str | None = None, target: int | None = None) -> DataFrame:
     """Rewrite all whole records to one Parquet file per group, equal (article_id, attempt) once, and read them back.
 
-    files: (file_id unique, file_path, n_bytes, content). Of records alike in article_id and attempt the longest is
-    kept, of those the smallest text; records without an attempt have null there. An empty manifest gives no rows.
-    Raises ValueError if the rewritten records are not exactly the distinct ones that were read.
+    files: (file_id unique, file_path, n_bytes, content). Records keep their bytes. Of records alike in article_id and
+    attempt the longest is kept, of those one by its hash; records without an attempt have null there. An empty manifest
+    gives no rows. Raises ValueError if the rewritten records are not exactly the chosen ones of those that were read.
     """
     spark = files.sparkSession
     parsed = stash(records_of(files, target), "records")
-    best = F.max_by(F.struct("grp", "record"), F.struct(F.length("record"), F.col("record")))
+    best = F.max_by(F.struct("grp", "record"), _preference())
     unique = parsed.groupBy("article_id", "attempt").agg(best.alias("x")).select("x.grp", "article_id", "attempt", "x.record")
     groups = (parsed.agg(F.max("grp")).first()[0] or 0) + 1
-    path = path or f"{shared_dir(spark)}/evtide-compacted-{uuid.uuid4().hex}"
+    path = path or shared_path(spark, "compacted")
     unique.repartitionById(groups, F.col("grp").cast("int")).sortWithinPartitions("article_id", "attempt").write.mode("overwrite").parquet(path)
     back = spark.read.schema("grp bigint, article_id string, attempt bigint, record string").parquet(path)
     reconcile(parsed, back)
     return back
 
 
+def _preference() -> Column:
+    return F.struct(F.octet_length("record").alias("n"), F.xxhash64("record").alias("h"))
+
+
 def reconcile(before: DataFrame, after: DataFrame) -> None:
-    """Raise unless after holds each distinct (article_id, attempt) of before exactly once."""
-    key = F.xxhash64("article_id", F.coalesce("attempt", F.lit(-1))).cast("decimal(38,0)")
-    want = before.select("article_id", "attempt").distinct().agg(F.count(F.lit(1)).alias("n"), F.sum(key).alias("h")).first()
-    have = after.agg(F.count(F.lit(1)).alias("n"), F.sum(key).alias("h")).first()
+    """Raise unless after holds the preferred record of each (article_id, attempt) of before exactly once, byte for byte: by number and checksum of keys and contents."""
+    total = lambda h: F.sum(F.xxhash64("article_id", F.coalesce("attempt", F.lit(-1)), h["n"], h["h"]).cast("decimal(38,0)"))
+    count = F.count(F.lit(1)).alias("n")
+    want = before.groupBy("article_id", "attempt").agg(F.max(_preference()).alias("p")).agg(count, total(F.col("p")).alias("h")).first()
+    have = after.withColumn("p", _preference()).agg(count, total(F.col("p")).alias("h")).first()
     if want != have:
         raise ValueError(f"{want.n} records read, {have.n} rewritten, or others")
 

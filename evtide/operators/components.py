@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from evtide.runtime import stash
+from evtide.runtime import discard, stash
 
 MAX_ROUNDS = 60
 
@@ -34,17 +34,22 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
 
     edges: (a, b), any order, repeats and loops allowed, rows with a null ignored. nodes: (id), optional further ids.
     """
-    work = stash(edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct(), "cc")
-    before = None
+    edges = edges.select("a", "b").where("a is not null or b is not null")
+    ids = lambda e: e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id")))
+    first = stash(edges.distinct(), "cc")  # the ids come from here too: the plan of edges runs once
+    work, before = first.where("a is not null and b is not null and a <> b"), None
     for _ in range(MAX_ROUNDS):
-        work = stash(_star(stash(_star(work, large=True), "cc"), large=False), "cc")
-        now = work.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
+        large = stash(_star(work, large=True), "cc")
+        seen = Observation()
+        small = stash(_star(large, large=False).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "cc")
+        discard(large, work)
+        work, now = small, seen.get
+        if now == before or not now["n"]:
             break
         before = now
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
-    known = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id")))
+    known = ids(first)
     if nodes is not None:
         known = known.unionByName(nodes.select("id"))
     return known.where("id is not null").distinct().join(work.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))

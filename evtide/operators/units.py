@@ -30,8 +30,9 @@ SCALES = {0: "unit units one ones", 3: "thousand thousands k 000s 000 tsd", 5: "
 #: English number words.
 NUMBERS = dict(zip("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety".split(), ["0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11", "12", "13", "14", "15", "16", "17", "18", "19", "20", "30", "40", "50", "60", "70", "80", "90"], strict=True)) | {"half": "0.5", "quarter": "0.25", "hundred": "100", "dozen": "12"}
 
-#: Words shorter than this, and symbols, must be known exactly; longer ones may differ by this part of their length.
-FUZZY_LENGTH, FUZZY_SHARE = 5, 0.2
+#: A word may differ from a known one by this part of its length; in words shorter than SHORT, where other edits lead to
+#: other words, only by one of the CHEAPEST edits.
+FUZZY_SHARE, SHORT, CHEAPEST = 0.2, 5, 0.3
 EXACT = DecimalType(38, 8)
 
 
@@ -70,10 +71,14 @@ def weighted_distance(a: str, b: str) -> float:
     return d[n][m]
 
 
+def allowed(length: int) -> float:
+    return CHEAPEST if length < SHORT else FUZZY_SHARE * length
+
+
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         pdf["distance"] = [weighted_distance(a, b) for a, b in zip(pdf["word"], pdf["alias"], strict=True)]
-        yield pdf[pdf["distance"] <= FUZZY_SHARE * pdf["word"].str.len()]
+        yield pdf[pdf["distance"] <= pdf["word"].str.len().map(allowed) + 1e-9]
 
 
 def alias_dictionary(words: DataFrame) -> DataFrame:
@@ -81,11 +86,14 @@ def alias_dictionary(words: DataFrame) -> DataFrame:
     units = known_units(words.sparkSession)
     words = words.select("word").distinct()
     exact = words.join(F.broadcast(units), words["word"] == units["alias"]).select("word", "kind", "code", "value")
-    rest = words.join(F.broadcast(units.select("alias")), words["word"] == F.col("alias"), "left_anti").where(F.length("word") >= FUZZY_LENGTH)
-    index = units.where(F.length("alias") >= FUZZY_LENGTH - 1).select("alias", F.explode(grams(F.col("alias"))).alias("gram"))
-    shared = rest.select("word", F.explode(grams(F.col("word"))).alias("gram")).join(F.broadcast(index), "gram").groupBy("word", "alias").count()
-    # Each edit destroys two bigrams at most: fewer shared ones can't pass the verification.
-    near = shared.where(F.col("count") >= F.length("word") + 1 - 2 * F.ceil(F.length("word") * (FUZZY_SHARE / 0.3))).where("count >= 2").select("word", "alias")
+    rest = words.join(F.broadcast(units.select("alias")), words["word"] == F.col("alias"), "left_anti")
+    index = units.select("alias", F.explode(grams(F.col("alias"))).alias("gram"))
+    shared = rest.select("word", F.explode(grams(F.col("word"))).alias("gram")).join(F.broadcast(index), "gram").select("word", "alias").distinct()
+    # No edit destroys more than five bigrams for each unit of its distance, but for a final s, which destroys two: of the
+    # length + 1 bigrams of a word one at least is left within the distance allowed, so the index misses no pair. Lengths
+    # differ by one for each edit of CHEAPEST or more.
+    most = F.when(F.length("word") < SHORT, CHEAPEST).otherwise(F.length("word") * FUZZY_SHARE)
+    near = shared.where(F.abs(F.length("word") - F.length("alias")) <= most / CHEAPEST + 1e-9)
     fuzzy = near.mapInPandas(_verified, "word string, alias string, distance double").groupBy("word").agg(F.min(F.struct("distance", "alias")).alias("best"))
     fuzzy = fuzzy.join(F.broadcast(units), F.col("best.alias") == F.col("alias")).select("word", "kind", "code", "value")
     return exact.unionByName(fuzzy)
@@ -146,7 +154,7 @@ def unit_dictionary(spellings: DataFrame) -> DataFrame:
     """(spelling, currency, scale, minor, worded): what each distinct spelling says; null where it says nothing."""
     distinct = stash(spellings.select("spelling").where("spelling is not null").distinct(), "spellings")
     words = distinct.select("spelling", F.posexplode(F.regexp_extract_all(F.regexp_replace("spelling", r"\.(?=[a-z]\.|\B|$)", ""), F.lit(_WORD), 0)).alias("pos", "word"))
-    dictionary = alias_dictionary(words)
+    dictionary = stash(alias_dictionary(words), "aliases")
     units = words.join(broadcast_if_small(dictionary), "word").groupBy("spelling").agg(F.collect_list(F.struct("pos", "word", "kind", "code", "value")).alias("units"))
     found = units.mapInPandas(_meaning, "spelling string, currency string, scale string, minor string, worded string")
     typed = found.select("spelling", "currency", *[F.col(c).cast(EXACT).alias(c) for c in ("scale", "minor", "worded")])
@@ -162,7 +170,7 @@ def in_usd(details: DataFrame, rates: DataFrame) -> DataFrame:
     gives null, and so does a value beyond 64 bits. Repeated rows give one row; extra columns are not used; null event ids are ignored.
     """
     columns = ["event_id", "deal_value_amount", "deal_value_currency", "deal_value_scale", "deal_value_text", "per_share_price_amount", "per_share_price_text"]
-    rows = details.select(*columns).where("event_id is not null").distinct()
+    rows = details.select(*columns).where("event_id is not null")
     known = lambda c: F.when(~stand_in(clean_key(F.col(c))), spelling(F.col(c)))
     spelt = rows.withColumns({"s_text": known("deal_value_text"), "s_price": known("per_share_price_text"), "s_currency": known("deal_value_currency"), "s_scale": known("deal_value_scale")})
     units = unit_dictionary(spelt.select(F.explode(F.array("s_text", "s_price", "s_currency", "s_scale")).alias("spelling")))
@@ -170,7 +178,7 @@ def in_usd(details: DataFrame, rates: DataFrame) -> DataFrame:
     out = spelt
     for c in ("text", "price", "currency", "scale"):
         out = out.join(units.select(F.col("spelling").alias(f"s_{c}"), F.struct("currency", "scale", "minor", "worded").alias(f"u_{c}")), f"s_{c}", "left")
-    positive = lambda c: F.when((F.col(c) > 0) & ~F.isnan(c) & (F.col(c) < 1e20), F.col(c).cast(EXACT))
+    positive = lambda c: F.when((F.col(c) > 0) & ~F.isnan(c), F.col(c).try_cast(EXACT))
     stated = F.coalesce(figure(F.col("deal_value_text")), F.col("u_text.worded"))
     currency = F.coalesce("u_text.currency", "u_currency.currency", F.lit("USD"))
     scale = F.coalesce("u_text.scale", F.when(stated.isNotNull(), F.lit(1).cast(EXACT)), "u_scale.scale", F.lit(1).cast(EXACT))
@@ -185,7 +193,7 @@ def in_usd(details: DataFrame, rates: DataFrame) -> DataFrame:
     rate = broadcast_if_small(rate)
     rated = amounts.join(rate, "code", "left").join(rate.select(F.col("code").alias("price_code"), F.col("rate").alias("price_rate")), "price_code", "left")
     whole = lambda x: F.when(x > 0, F.round(x, 0).try_cast("bigint"))
-    return rated.select("event_id", "deal_value_amount", "per_share_price_amount", whole(F.try_multiply("value", "rate")).alias("deal_usd"), whole(F.try_multiply("price", (F.col("price_rate") * 100).cast("decimal(18,8)"))).alias("price_cents"))
+    return rated.select("event_id", "deal_value_amount", "per_share_price_amount", whole(F.try_multiply("value", "rate")).alias("deal_usd"), whole(F.try_multiply("price", (F.col("price_rate") * 100).cast("decimal(18,8)"))).alias("price_cents")).distinct()
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:

@@ -54,6 +54,7 @@ SELECT DISTINCT event_id, field_name, usd_value FROM x WHERE usd_value > 0 AND N
 ORACLES: dict[str, str] = {
     "p3_found": _P3,
     "p7_found": timestamp_sql.SQL,
+    "p5_plan": f"WITH m AS (SELECT file_id, greatest(coalesce(n_bytes, 0), 0) AS b, file_path AS p FROM article_files), t AS (SELECT greatest({compaction.SMALLEST}, least({compaction.LARGEST}, ceil(sum(b) / {compaction.LEAST_GROUPS}))) AS t FROM m), g AS (SELECT b, CAST((sum(b) OVER (ORDER BY p, file_id ROWS UNBOUNDED PRECEDING) - b) // CAST((SELECT t FROM t) AS BIGINT) AS BIGINT) AS grp FROM m) SELECT grp, count(*) AS files, CAST(sum(b) AS BIGINT) AS bytes FROM g GROUP BY grp",
     "p5_found": f"WITH r AS (SELECT unnest(regexp_extract_all(content, '{_OBJECT}')) AS j FROM article_files), v AS (SELECT j FROM r WHERE json_valid(j)) SELECT DISTINCT json_extract_string(j, '$.article_id') AS article_id, CAST(json_extract_string(j, '$.attempt') AS BIGINT) AS attempt FROM v WHERE trim(json_extract_string(j, '$.article_id')) <> ''",
 }
 for _table in (template_queries.TABLE, canonical_queries.TABLE, scoring_queries.TABLE, pipeline_queries.TABLE):

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it is known to have at most this many rows.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if it is known to have at most this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
-_stashed: list[tuple[SparkSession, str]] = []
+_stashed: dict[str, SparkSession] = {}
 
 
 def read(spark: SparkSession, base: str, table: str) -> DataFrame:
@@ -26,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not set_by_code:
             if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evtide-"))
+            local = tempfile.mkdtemp(prefix="evtide-")
+            atexit.register(shutil.rmtree, local, True)
+            spark.sparkContext.setCheckpointDir(local)
             set_by_code = spark.sparkContext.getCheckpointDir()
         root = set_by_code
     return root.rstrip("/")
@@ -35,27 +39,32 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage ends there and an executor may be lost.
 
-    Smaller than checkpoint(), which stores rows uncompressed. Removed when the driver's process ends.
+    Smaller than checkpoint(), which stores rows uncompressed. Removed by discard(), else when the driver's process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evtide-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    _stashed.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
 
 
-def drop_stashes(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables stashed after position since (see stash_mark)."""
-    for session, path in _stashed[since:]:
-        _remove(session, path)
-    del _stashed[since:]
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's process ends."""
+    path = f"{shared_dir(spark)}/evtide-{name}-{uuid.uuid4().hex}"
+    _stashed[path] = spark
+    return path
 
 
-def stash_mark() -> int:
-    return len(_stashed)
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more; other DataFrames are passed over."""
+    for df in tables:
+        path = getattr(df, "_stashed_at", None)
+        if path and (spark := _stashed.pop(path, None)):
+            _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -66,16 +75,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _at_exit() -> None:
-    for spark, path in _stashed:
+    for path, spark in _stashed.items():
         try:
             _remove(spark, path)
         except Exception:  # the JVM may be gone already
             return
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for broadcasting only if it has at most so many rows (counting stops there); else leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark df for broadcasting only if it has at most so many rows and bytes (as JSON); else leave the join to shuffle.
+
+    Counting stops at rows. It runs df's plan: a costly one should be stashed before.
+    """
+    least = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("size")).first()
+    return F.broadcast(df) if least.n <= rows and (least["size"] or 0) <= size else df
 
 
 #: The white space of Unicode.

@@ -22,12 +22,18 @@ def test_layouts():
     assert ids("﻿" + json.dumps([A, B], indent=1)) == [("a", 1), ("b", 2)]
     assert ids(json.dumps({"results": [A, B]})) == [("a", 1), ("b", 2)]
     assert ids(json.dumps([A, B])[:-20]) == [("a", 1)]
+    assert ids('{"a": "x {", "b": [{"article_id": "in", "attempt": 1}], "c": "} {"}') == [("in", 1)]
     assert ids('{"article_id": "cut", "attempt": 1') == []
     assert ids('{"article_id": null} {"article_id": ""} {"x": 1} [] "s" 3 {') == []
     assert ids("claimed by w1 at 2025") == [] and ids("") == [] and ids("{" * 3000) == []
     assert ids('{"article_id": "a"}{"article_id": "a", "attempt": "x"}{"article_id": 5, "attempt": 2.0}') == [("a", None), ("a", None), ("5", 2)]
 
 
+def test_bytes_are_kept():
+    odd = '{"article_id": "a",  "n": 1e400, "x": 0.10000000000000000555, "k": 1, "k": 2, "u": "\\u00e9"}'
+    assert [r for *_, r in C.whole_records(f'[{odd}, {{"r": {odd}}}]')] == [odd, odd]
+
+
 def test_none_lost_none_twice(spark):
     contents = [json.dumps(A), json.dumps([A, B]), None, "", "\n", json.dumps(A)[:15], json.dumps({"article_id": "a"}), "x" * 100_000]
     got = C.compact(files(spark, contents), target=50).toPandas()
@@ -37,9 +43,9 @@ def test_none_lost_none_twice(spark):
 
 
 def test_reconcile_notices(spark):
-    df = spark.createDataFrame([("a", 1), ("b", 2)], "article_id string, attempt bigint")
-    C.reconcile(df.union(df), df)
-    for other in (df.limit(1), df.union(df), spark.createDataFrame([("a", 1), ("c", 2)], df.schema)):
+    df = spark.createDataFrame([("a", 1, "{1}"), ("b", 2, "{22}")], "article_id string, attempt bigint, record string")
+    C.reconcile(df.union(df).union(spark.createDataFrame([("b", 2, "{}")], df.schema)), df)
+    for other in (df.limit(1), df.union(df), spark.createDataFrame([("a", 1, "{1}"), ("c", 2, "{22}")], df.schema), spark.createDataFrame([("a", 1, "{1}"), ("b", 2, "{23}")], df.schema)):
         with pytest.raises(ValueError):
             C.reconcile(df, other)
 
@@ -59,7 +65,16 @@ def test_registered_plan_uses_the_production_target(spark, tmp_path):
     rows = [(i, f"p/{i}", 50 << 20, None) for i in range(4)]
     spark.createDataFrame(rows, "file_id bigint, file_path string, n_bytes bigint, content string").write.parquet(f"{tmp_path}/article_files.parquet")
     got = {r.grp: (r.files, r.bytes) for r in C.p5_plan(spark, str(tmp_path)).collect()}
-    assert got == {0: (3, 150 << 20), 1: (1, 50 << 20)}
+    assert got == {k: (1, 50 << 20) for k in (0, 2, 4, 6)}  # 200 MiB: an eighth is 25 MiB
+
+
+def test_target_follows_the_manifest(spark, monkeypatch):
+    of = lambda *sizes: C.target_bytes(spark.createDataFrame([(s,) for s in sizes], "n_bytes bigint"))
+    assert of() == of(None) == of(-5, 100) == C.SMALLEST
+    assert of(16 << 20, None) == 2 << 20 and of(1 << 40) == C.LARGEST
+    monkeypatch.setattr(C, "FILES_PER_RANGE", 7)  # one flat folder over several ranges
+    m = spark.createDataFrame([(i, f"flat/{i:03d}", 10) for i in range(100)], "file_id bigint, file_path string, n_bytes bigint")
+    assert {r.file_id: r.grp for r in C.plan_groups(m, 30).collect()} == {i: i * 10 // 30 for i in range(100)}
 
 
 def test_several_groups_are_rewritten(spark, tmp_path):

@@ -38,6 +38,9 @@ CASES = [
     ((1e19, "EUR", "trillion", "USD " + "9" * 29 + " trillion", 1e19, "9" * 40 + " yen per share"), (None, None)),
     ((float("inf"), "USD", None, None, 1e300, None), (None, None)),
     ((2.0, "zorkmid", "gross", "n/a", None, "x" * 20000), (2, None)),
+    ((1e20, "JPY", None, None, None, None), (700_000_000_000_000_000, None)),
+    ((None, None, None, "12 bns USD", None, "3 ppence a share"), (12_000_000_000, 4)),
+    ((None, None, None, "a 5 milllion eur deal, cash in time", None, None), (5_450_000, None)),
 ]
 
 
@@ -61,3 +64,11 @@ def test_figures(spark, text, value):
 def test_distance_is_bounded_by_edits(a, b):
     d = U.weighted_distance(a, b)
     assert (d == 0) == (a == b) and d <= max(len(a), len(b)) and abs(d - U.weighted_distance(b, a)) < 1e-9
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sampled_from(["milion", "bilions", "poundss", "rupee", "sterlnig", "mmm", "crroe", "tousands", "bn", "s", "canadain"]), st.sampled_from(sorted({a for w in U.SCALES.values() for a in w.split()} | {a for w in U.CURRENCIES.values() for a in w.split()})))
+def test_the_index_misses_no_pair(word, alias):
+    grams = lambda w: {f"^{w}$"[i : i + 2] for i in range(len(w) + 1)}
+    if U.weighted_distance(word, alias) <= U.allowed(len(word)):
+        assert grams(word) & grams(alias) and abs(len(word) - len(alias)) <= U.allowed(len(word)) / U.CHEAPEST
