@@ -1,9 +1,10 @@
 """Evaluation passages inside a corpus, by the q-gram lemma.
 
-Texts are reduced to words of plain letters and digits with single blanks. A run of at least RUN words is a stretch of
-at least L characters, and stretches that differ by at most e edits share L - q + 1 - q e q-grams on neighbouring
-diagonals. Shared q-grams are counted in overlapping diagonal bands; bands that reach the bound are verified by an
-alignment inside the band. Nothing depends on how many documents there are: each is read once, whole.
+Texts are reduced to words of plain letters and digits with single blanks. Passages are runs of RUN words of an item; a
+stretch of text that differs from a passage of L characters by at most e edits shares L - q + 1 - q e q-grams with it on
+neighbouring diagonals. Each text is read once, whole: its q-grams are looked up in a bitmap of the items' q-grams, and
+only texts with enough of them close together go on. There the q-grams are joined to the items' index, counted in
+overlapping diagonal bands, and the bands that reach the bound are verified by an alignment inside the band.
 """
 
 from __future__ import annotations
@@ -17,181 +18,216 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evtide.llm.folding import LETTERS
-from evtide.runtime import read, stash
+from evtide.runtime import broadcast_if_small, read, stash
 
-#: Words in a row that make a leak; characters of a q-gram; edits allowed inside the run.
-RUN, Q, EDITS = 13, 24, 0
-#: Items are taken in blocks of about so many characters, so that the index a task holds stays
-#: bounded (about 40 bytes a character).
-BLOCK_CHARS = 4_000_000
+#: Words in a row that make a passage; characters of a q-gram; edits allowed inside a passage.
+RUN, Q, EDITS = 13, 16, 2
+#: Bits of the bitmap per q-gram of the items, and the most it may have (as a power of two): beyond that it lets more pass, but misses nothing.
+BITS_EACH, MOST_BITS = 64, 27
+#: Characters and passages that are worked on at a time.
+CHARS, PASSAGES = 4_000_000, 20_000
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&(?:#\d+|#x[0-9A-Fa-f]+|[A-Za-z]+);")
+_TAG = re.compile(r"""</?[A-Za-z][A-Za-z0-9:-]*(?:\s+[A-Za-z_:][\w:.-]*\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=]+))*\s*/?>|<!--[^<>]*-->|&(?:#\d+|#x[0-9A-Fa-f]+|[A-Za-z]+);""")
 _ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def letters(text: str) -> bytes:
-    """text as bytes: lower-case plain letters and digits, a blank for everything between; blanks may repeat."""
+    """text as bytes: lower-case plain letters and digits, a single blank between words and at both ends."""
     if "<" in text or "&" in text:
         text = _TAG.sub(" ", text)
     if not text.isascii():
         text = text.translate(LETTERS)
-    return text.encode().translate(_ASCII)
-
-
-def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts one after the other, single blanks between words, two around each text; and where each begins."""
-    parts = [letters(t) for t in texts]
-    data = np.frombuffer(b" " + b"\x01".join(parts) + b"\x01" + b" " * 32, np.uint8)
-    blank, stop = data == 32, data == 1
-    keep = np.ones(len(data), bool)
-    keep[1:] = ~(blank[1:] & (blank[:-1] | stop[:-1]))
-    data = data[keep]
-    ends = np.flatnonzero(data == 1)
-    data = data.copy()
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else np.empty(0, int)
-    return data, starts
-
-
-def q_grams(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the Q = 24 bytes from each place of data."""
-    n = len(data) - 7
-    words = np.empty(n, np.uint64)
-    raw = data.tobytes()
+    return b" %s " % b" ".join(text.encode().translate(_ASCII).split())
+
+
+def q_grams(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of the Q = 16 bytes from each place of raw."""
+    n = len(raw) - Q + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    words = np.empty(n + 8, np.uint64)
     for o in range(8):
         part = np.frombuffer(raw, "<u8", count=(len(raw) - o) // 8, offset=o)
         words[o::8] = part[: len(words[o::8])]
-    n -= 16
     h = words[:n] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= words[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= words[16 : 16 + n] * np.uint64(0x165667B19E3779F9)
+    h ^= words[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h
 
 
-class Index:
-    """The q-grams of a block of items."""
-
-    def __init__(self, ids: list, texts: list[str]):
-        self.ids = np.array(ids)
-        self.data, self.starts = joined(texts)
-        grams = q_grams(self.data)
-        where = np.arange(len(grams))
-        inside = np.convolve(self.data == 1, np.ones(Q, int))[Q - 1 : Q - 1 + len(grams)] == 0
-        grams, where = grams[inside], where[inside]
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.where = grams[order], where[order]
-        self.unique, self.first, self.count = np.unique(self.grams, return_index=True, return_counts=True)
-        self.maybe = np.zeros(1 << 24, bool)
-        self.maybe[(self.unique >> np.uint64(40)).astype(np.int64)] = True
-        self.least = self._least_hits()
-
-    def _least_hits(self) -> int:
-        """The q-gram lemma's bound for the shortest run of RUN words in any item; 1 if an item has runs too short for q-grams."""
-        cuts = np.flatnonzero((self.data == 32) | (self.data == 1))
-        bounded = [cuts[k + RUN] - cuts[k] - 1 for k in range(len(cuts) - RUN) if not (self.data[cuts[k] + 1 : cuts[k + RUN]] == 1).any()]
-        return max(1, min(bounded, default=0) - Q + 1 - Q * EDITS)
-
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in grams, places in the items) of all shared q-grams."""
-        at = np.flatnonzero(self.maybe[(grams >> np.uint64(40)).astype(np.int64)])
-        found = np.searchsorted(self.unique, grams[at])
-        found[found == len(self.unique)] = 0
-        same = self.unique[found] == grams[at] if len(self.unique) else np.zeros(0, bool)
-        at, found = at[same], found[same]
-        count = self.count[found]
-        total = int(count.sum())
-        offsets = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-        return np.repeat(at, count), self.where[np.repeat(self.first[found], count) + offsets]
-
-
-def aligned_run(a: np.ndarray, i: int, b: np.ndarray, j: int, band: int = EDITS) -> tuple[int, int]:
-    """The most words in a row that both texts have around places i and j, over the diagonals i - j - band to i - j + band; and where in a the stretch on the middle one ends."""
-    best, end = 0, i
-    for shift in range(-band, band + 1):
-        x, y = i, j + shift
-        if not 0 <= y < len(b) or a[x] != b[y]:
-            continue
-        n = min(x, y)
-        differ = np.flatnonzero((a[x - n : x] != b[y - n : y]) | (a[x - n : x] == 1))
-        back = n - (differ[-1] + 1) if len(differ) else n
-        m = min(len(a) - x, len(b) - y)
-        differ = np.flatnonzero((a[x : x + m] != b[y : y + m]) | (a[x : x + m] == 1))
-        ahead = int(differ[0]) if len(differ) else m
-        lo, hi = x - back, x + ahead
-        run = a[lo:hi]
-        cuts = [k for k in np.flatnonzero(run == 32)]
-        if (lo == 0 or a[lo - 1] in (1, 32)) and (y - back == 0 or b[y - back - 1] in (1, 32)) and a[lo] != 32:
-            cuts.insert(0, -1)
-        if (hi == len(a) or a[hi] in (1, 32)) and (y + ahead == len(b) or b[y + ahead] in (1, 32)) and a[hi - 1] != 32:
-            cuts.append(len(run))
-        best, end = max(best, len(cuts) - 1), hi if shift == 0 else end
-    return best, end
-
-
-def leaks(index: Index, texts: list[str]) -> list[tuple[int, int]]:
-    """(number of the text, number of the item) of the texts that contain RUN or more words in a row of an item."""
-    data, starts = joined(texts)
-    i, j = index.hits(q_grams(data))
-    text, item = np.searchsorted(starts, i, "right") - 1, np.searchsorted(index.starts, j, "right") - 1
-    width = 2 * EDITS + 1
-    out: set[tuple[int, int]] = set()
-    for half in range(2 if EDITS else 1):  # overlapping bands: no stretch lies across the border of both
-        band = (i - j + half * width // 2) // width
-        order = np.lexsort((i, band, item, text))
-        key = np.stack([text[order], item[order], band[order]])
-        new = np.ones(len(order), bool)
-        new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(order)))
-        for f, n in zip(first[size >= index.least], size[size >= index.least], strict=True):
-            pair = (int(key[0, f]), int(key[1, f]))
-            if pair in out:
-                continue
-            seen = -1
-            for k in order[f : f + n]:
-                if i[k] > seen:
-                    run, seen = aligned_run(data, int(i[k]), index.data, int(j[k]))
-                    if run >= RUN:
-                        out.add(pair)
-                        break
-    return sorted(out)
+def passages(body: bytes) -> np.ndarray:
+    """(start, end) of every run of RUN words of body, the blanks around it included."""
+    cuts = np.flatnonzero(np.frombuffer(body, np.uint8) == 32)
+    return np.stack([cuts[: -RUN or None], cuts[RUN:] + 1], 1) if len(cuts) > RUN else np.empty((0, 2), int)
+
 
+def bound(body: bytes, edits: int) -> tuple[int, int, int]:
+    """(edits, least, widest) of an item: how many edits its shortest passage can have for the lemma to ask for a q-gram at all, how many q-grams it then asks for, and the length of the longest passage."""
+    sizes = np.diff(passages(body), axis=1)
+    shortest = int(sizes.min())
+    e = max(0, min(edits, (shortest - Q) // Q))
+    return e, shortest - Q + 1 - Q * e, int(sizes.max())
 
-def _against(ids: list, texts: list[str], chars: int = 4_000_000):
+
+def _folded_items(edits: int):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(ids, texts)
         for pdf in batches:
-            own, ends = pdf["text"].tolist(), pdf["text"].str.len().cumsum().to_numpy()
-            cuts = np.searchsorted(ends, np.arange(0, ends[-1], chars) if len(ends) else [])
-            for a, b in zip(cuts, [*cuts[1:], len(own)], strict=True):
-                found = leaks(index, own[a:b])
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[[a + x for x, _ in found]], "item_id": index.ids[[y for _, y in found]] if found else np.empty(0, index.ids.dtype)})
+            bodies = [letters(t) for t in pdf["t"]]
+            keep = [len(passages(b)) > 0 for b in bodies]
+            rows = [(i, b, *bound(b, edits)) for i, b, k in zip(pdf["item_id"], bodies, keep, strict=True) if k]
+            yield pd.DataFrame(rows, columns=["item_id", "item_body", "edits", "least", "widest"])
 
     return f
 
 
-def find_leaks(texts: DataFrame, id_column: str, text_column: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
-    """(id, item_id), distinct: each text with each item of which it contains RUN words in a row.
+def _item_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        grams = [q_grams(b) for b in pdf["item_body"]]
+        sizes = [len(g) for g in grams]
+        yield pd.DataFrame({"gram": np.concatenate([np.empty(0, np.uint64), *grams]).view(np.int64), "iid": np.repeat(pdf["iid"].to_numpy(), sizes), "ipos": np.concatenate([np.empty(0, int), *map(np.arange, sizes)]).astype(np.int32)})
+
+
+def bitmap_of(grams: DataFrame) -> tuple[int, bytes]:
+    """(bits, bitmap): which hash prefixes of so many bits the q-grams have. At most 2^MOST_BITS bits come to the driver, whatever the items."""
+    bits = min(MOST_BITS, max(16, int(grams.count() * BITS_EACH - 1).bit_length()))
+    prefix = F.shiftrightunsigned("gram", 64 - bits)
+    words = grams.select(F.shiftright(prefix, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - bits}) & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["at"].to_numpy(int)] = words["word"].to_numpy(np.int64)
+    return bits, out.tobytes()
+
 
-    Null and empty texts and items match nothing, nor do items of fewer words; extra columns are not used; ids may
-    repeat. The items, a stated query set, are taken in blocks of BLOCK_CHARS; every block is held against all texts.
+def close_hits(at: np.ndarray, text: np.ndarray, least: int, widest: int) -> np.ndarray:
+    """Which of the sorted places at lie among least or more of one text within widest places."""
+    ok = np.zeros(len(at) + 1, np.int64)
+    if len(at) >= least:
+        first = np.flatnonzero((at[least - 1 :] - at[: len(at) - least + 1] <= widest) & (text[least - 1 :] == text[: len(at) - least + 1]))
+        np.add.at(ok, first, 1)
+        np.add.at(ok, first + least, -1)
+    return np.cumsum(ok)[:-1] > 0
+
+
+def _suspects(bits: int, bitmap: bytes, least: int, widest: int):
+    """Texts with enough of the items' q-grams close together, and these q-grams with their places."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        there = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool)
+        for pdf in batches:
+            ids, texts = pdf["id"].to_numpy(), pdf["text"].tolist()
+            ends = np.cumsum([len(t) for t in texts])
+            cuts = [0, *(np.flatnonzero(np.diff(ends // CHARS)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                bodies = [letters(t) for t in texts[a:b]]
+                grams = q_grams(b"\x01".join(bodies))
+                starts = np.cumsum([0, *[len(x) + 1 for x in bodies]])
+                at = np.flatnonzero(there[(grams >> np.uint64(64 - bits)).astype(np.int64)])
+                text = np.searchsorted(starts, at, "right") - 1
+                near = close_hits(at, text, least, widest)
+                at, text = at[near], text[near]
+                found = np.unique(text)
+                slices = [(np.searchsorted(text, x, "left"), np.searchsorted(text, x, "right")) for x in found]
+                yield pd.DataFrame({"id": ids[a:b][found], "body": [bodies[x] for x in found], "grams": [grams[at[i:j]].view(np.int64) for i, j in slices], "at": [(at[i:j] - starts[x]).astype(np.int32) for x, (i, j) in zip(found, slices, strict=True)]})
+
+    return f
+
+
+def banded_edits(pattern: np.ndarray, start: np.ndarray, size: np.ndarray, text: np.ndarray, base: np.ndarray, low: np.ndarray, high: np.ndarray, columns: int) -> np.ndarray:
+    """The least edits between each pattern and a stretch of text on the columns diagonals from base.
+
+    pattern, text: all of them one after the other; pattern k is pattern[start : start + size]. Column c of row i stands
+    for the text up to place base + i + c; places outside low <= place < high match nothing. A stretch may begin and end
+    on any of the diagonals.
+    """
+    n, steps = len(start), int(size.max(initial=0))
+    cost = np.zeros((n, columns), np.int16)
+    best = np.zeros(n, np.int16)
+    offsets = np.arange(columns)
+    for i in range(1, steps + 1):
+        live = np.flatnonzero(size >= i)
+        place = (base[live] + i - 1)[:, None] + offsets
+        inside = (place >= low[live][:, None]) & (place < high[live][:, None])
+        same = inside & (text[np.where(inside, place, 0)] == pattern[start[live] + i - 1][:, None])
+        before = cost[live]
+        now = before + ~same
+        now[:, :-1] = np.minimum(now[:, :-1], before[:, 1:] + 1)
+        for c in range(1, columns):
+            now[:, c] = np.minimum(now[:, c], now[:, c - 1] + 1)
+        cost[live] = now
+        done = size[live] == i
+        best[live[done]] = now[done].min(1)
+    return best
+
+
+def _verified(step: int):
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            items, bodies = pdf["item_body"].tolist(), pdf["region"].tolist()
+            pattern, text = np.frombuffer(b"".join(items), np.uint8), np.frombuffer(b"".join(bodies) + b"\x01", np.uint8)
+            at_item, at_text = np.cumsum([0, *map(len, items)]), np.cumsum([0, *map(len, bodies)])
+            rows, start, size, base = [], [], [], []
+            for k, (item, e, band, lo, hi, offset) in enumerate(zip(items, pdf["edits"], pdf["band"], pdf["lo"], pdf["hi"], pdf["offset"], strict=True)):
+                runs = passages(item)
+                runs = runs[(runs[:, 0] >= lo - Q * e) & (runs[:, 1] <= hi + Q + Q * e)]
+                rows.append(np.full(len(runs), k))
+                start.append(runs[:, 0] + at_item[k])
+                size.append(runs[:, 1] - runs[:, 0])
+                base.append(runs[:, 0] - (band * step + 2 * step - 1) - e - offset + at_text[k])
+            rows, start, size, base = map(np.concatenate, (rows, start, size, base))
+            allowed = pdf["edits"].to_numpy(int)
+            least = np.full(len(pdf), 1 << 14)
+            for a in range(0, len(rows), PASSAGES):
+                r = rows[a : a + PASSAGES]
+                got = banded_edits(pattern, start[a : a + PASSAGES], size[a : a + PASSAGES], text, base[a : a + PASSAGES], at_text[r], at_text[r + 1], 2 * step + 2 * int(allowed.max()))
+                np.minimum.at(least, r, got)
+            keep = least <= allowed
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[keep], "item_id": pdf["item_id"].to_numpy()[keep], "n_edits": least[keep]})
+
+    return f
+
+
+def find_leaks(texts: DataFrame, id_column: str, text_column: str, items: DataFrame, item_id: str, item_text: str, edits: int = EDITS) -> DataFrame:
+    """(id, item_id, n_edits), one row per pair: each text with each item of which it holds a passage of RUN words with at most so many edits (characters put in, left out or changed), and the least number of them; 0 is the passage word for word.
+
+    An item whose shortest passage has under Q (1 + edits) characters is sought with fewer edits, as the lemma asks for
+    nothing otherwise. Null and empty texts and items match nothing, nor do items of fewer words; extra columns are not
+    used; ids may repeat. Texts are read once; items stay in tables, the driver gets a bitmap of bounded size.
     """
     slim = texts.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text <> ''")
     wanted = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("t")).where("item_id is not null and t <> ''").distinct()
-    kinds = f"id {slim.schema['id'].dataType.simpleString()}, item_id {wanted.schema['item_id'].dataType.simpleString()}"
-    numbered = stash(wanted.withColumn("size", F.length("t")), "items")
-    total = numbered.agg(F.sum("size")).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_CHARS))
-    found = None
-    for block in range(blocks):
-        rows = numbered.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == block).collect()
-        if rows or found is None:
-            one = slim.mapInPandas(_against([r["item_id"] for r in rows], [r["t"] for r in rows]), kinds) if rows else slim.sparkSession.createDataFrame([], kinds)
-            found = one if found is None else found.unionByName(one)
-    return found.distinct()
+    id_type, item_type = slim.schema["id"].dataType.simpleString(), wanted.schema["item_id"].dataType.simpleString()
+    item = stash(wanted.mapInPandas(_folded_items(edits), f"item_id {item_type}, item_body binary, edits int, least int, widest int").withColumn("iid", F.monotonically_increasing_id()), "items")
+    grams = stash(item.mapInPandas(_item_grams, "gram bigint, iid bigint, ipos int"), "grams")
+    limits = item.agg(F.min("least").alias("least"), F.max("widest").alias("widest"), F.max("edits").alias("edits")).first()
+    if limits.least is None:
+        return texts.sparkSession.createDataFrame([], f"id {id_type}, item_id {item_type}, n_edits int")
+    found = slim.mapInPandas(_suspects(*bitmap_of(grams), limits.least, limits.widest + limits.edits), f"id {id_type}, body binary, grams array<bigint>, at array<int>")
+    found = stash(found.withColumn("rid", F.monotonically_increasing_id()), "suspects")
+    step = max(1, limits.edits)  # bands of 2 step diagonals, a step apart: each stretch lies inside one
+    hits = found.select("rid", F.explode(F.arrays_zip("grams", "at")).alias("h")).select("rid", F.col("h.grams").alias("gram"), F.col("h.at").alias("at"))
+    band = F.floor((F.col("ipos") - F.col("at")) / step)
+    banded = hits.join(broadcast_if_small(grams), "gram").select("rid", "iid", "ipos", F.explode(F.array(band, band - 1)).alias("band"))
+    counted = banded.groupBy("rid", "iid", "band").agg(F.count(F.lit(1)).alias("n"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"))
+    candidates = counted.join(broadcast_if_small(item), "iid").where("n >= least")
+    offset = F.greatest(F.lit(0), F.col("lo") - Q * F.col("edits") - (F.col("band") + 2) * step - F.col("edits"))
+    length = F.col("hi") - F.col("lo") + Q + 2 * Q * F.col("edits") + 2 * step + 3 * F.col("edits") + 2
+    placed = candidates.join(found.select("rid", "id", "body"), "rid").withColumn("offset", offset.cast("int"))
+    regions = placed.select("id", "item_id", "item_body", "edits", "band", "lo", "hi", "offset", F.substring("body", F.col("offset") + 1, length.cast("int")).alias("region"))
+    pairs = regions.mapInPandas(_verified(step), f"id {id_type}, item_id {item_type}, n_edits int")
+    return pairs.groupBy("id", "item_id").agg(F.min("n_edits").alias("n_edits"))
+
+
+def _leaks(spark: SparkSession, base: str) -> DataFrame:
+    return find_leaks(read(spark, base, "documents"), "doc_id", "text", read(spark, base, "eval_item"), "item_id", "item_text").withColumnRenamed("id", "doc_id")
 
 
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
-    found = find_leaks(read(spark, base, "documents"), "doc_id", "text", read(spark, base, "eval_item"), "item_id", "item_text")
-    return found.withColumnRenamed("id", "doc_id")
+    """Leaks word for word: of the pairs within the edit budget those that need no edit."""
+    return _leaks(spark, base).where("n_edits = 0").select("doc_id", "item_id")
+
+
+def p8_near(spark: SparkSession, base: str) -> DataFrame:
+    """All leaks within the edit budget with the edits they need."""
+    return _leaks(spark, base)

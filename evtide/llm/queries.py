@@ -12,6 +12,7 @@ QUERIES = {
     "p6_found": splitting.p6_found,
     "p6_pieces": splitting.p6_pieces,
     "p8_found": leaks.p8_found,
+    "p8_near": leaks.p8_near,
     "p9_found": mixing.p9_found,
     "p9_mix": mixing.p9_mix,
     "p9_report": mixing.p9_report,
@@ -30,7 +31,7 @@ _LINKS = f"""WITH RECURSIVE fa AS (SELECT firm_id AS id, lower(trim(atom_value,
     SELECT CASE WHEN id LIKE 'f%' THEN 'firm' ELSE 'event' END AS node_kind, substr(m, 2) AS group_id, substr(id, 2) AS member_id FROM g WHERE id <> m"""
 _LONG = "[^\\s\\p{Z}]{1000}" * 6 + "[^\\s\\p{Z}]"
 
-_FOLD = r"""list_filter(regexp_split_to_array(lower(strip_accents(translate(regexp_replace(regexp_replace({t}, '</?[A-Za-z][^<>]{{0,200}}>|&(?:#[0-9]+|[A-Za-z]+);', ' ', 'g'), '[\x{{AD}}\x{{200B}}-\x{{200D}}\x{{FEFF}}\x{{FE0F}}]', '', 'g'), '𝔞еоасрх', 'aeoacpx'))), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"""
+_FOLD = r"""list_filter(regexp_split_to_array(lower(strip_accents(translate(regexp_replace(regexp_replace({t}, '</?[A-Za-z][A-Za-z0-9:-]*(?:\s+[A-Za-z_:][\w:.-]*\s*=\s*(?:"[^"<>]*"|''[^''<>]*''|[^\s"''<>=]+))*\s*/?>|<!--[^<>]*-->|&(?:#[0-9]+|#x[0-9A-Fa-f]+|[A-Za-z]+);', ' ', 'g'), '[\x{{AD}}\x{{200B}}-\x{{200D}}\x{{FEFF}}\x{{FE0F}}]', '', 'g'), '𝔞еоасрх', 'aeoacpx'))), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"""
 
 
 def _runs(name: str, id_column: str, text: str, table: str) -> str:
