@@ -21,7 +21,7 @@ from evtide.llm.folding import LETTERS
 from evtide.runtime import broadcast_if_small, read, stash
 
 #: Words in a row that make a passage; characters of a q-gram; edits allowed inside a passage.
-RUN, Q, EDITS = 13, 16, 2
+RUN, Q, EDITS = 13, 16, 1
 #: Bits of the bitmap per q-gram of the items, and the most it may have (as a power of two): beyond that it lets more pass, but misses nothing.
 BITS_EACH, MOST_BITS = 64, 27
 #: Characters and passages that are worked on at a time.
@@ -63,11 +63,10 @@ def passages(body: bytes) -> np.ndarray:
 
 
 def bound(body: bytes, edits: int) -> tuple[int, int, int]:
-    """(edits, least, widest) of an item: how many edits its shortest passage can have for the lemma to ask for a q-gram at all, how many q-grams it then asks for, and the length of the longest passage."""
-    sizes = np.diff(passages(body), axis=1)
-    shortest = int(sizes.min())
+    """(shortest, edits, least) of an item: the length of its shortest passage, how many edits that can have for the lemma to ask for a q-gram at all, and how many q-grams it then asks for."""
+    shortest = int(np.diff(passages(body), axis=1).min())
     e = max(0, min(edits, (shortest - Q) // Q))
-    return e, shortest - Q + 1 - Q * e, int(sizes.max())
+    return shortest, e, shortest - Q + 1 - Q * e
 
 
 def _folded_items(edits: int):
@@ -76,7 +75,7 @@ def _folded_items(edits: int):
             bodies = [letters(t) for t in pdf["t"]]
             keep = [len(passages(b)) > 0 for b in bodies]
             rows = [(i, b, *bound(b, edits)) for i, b, k in zip(pdf["item_id"], bodies, keep, strict=True) if k]
-            yield pd.DataFrame(rows, columns=["item_id", "item_body", "edits", "least", "widest"])
+            yield pd.DataFrame(rows, columns=["item_id", "item_body", "shortest", "edits", "least"])
 
     return f
 
@@ -98,17 +97,17 @@ def bitmap_of(grams: DataFrame) -> tuple[int, bytes]:
     return bits, out.tobytes()
 
 
-def close_hits(at: np.ndarray, text: np.ndarray, least: int, widest: int) -> np.ndarray:
-    """Which of the sorted places at lie among least or more of one text within widest places."""
+def close_hits(at: np.ndarray, text: np.ndarray, least: int, within: int) -> np.ndarray:
+    """Which of the sorted places at lie among least or more of one text within so many places."""
     ok = np.zeros(len(at) + 1, np.int64)
     if len(at) >= least:
-        first = np.flatnonzero((at[least - 1 :] - at[: len(at) - least + 1] <= widest) & (text[least - 1 :] == text[: len(at) - least + 1]))
+        first = np.flatnonzero((at[least - 1 :] - at[: len(at) - least + 1] < within) & (text[least - 1 :] == text[: len(at) - least + 1]))
         np.add.at(ok, first, 1)
         np.add.at(ok, first + least, -1)
     return np.cumsum(ok)[:-1] > 0
 
 
-def _suspects(bits: int, bitmap: bytes, least: int, widest: int):
+def _suspects(bits: int, bitmap: bytes, least: int, within: int):
     """Texts with enough of the items' q-grams close together, and these q-grams with their places."""
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +122,7 @@ def _suspects(bits: int, bitmap: bytes, least: int, widest: int):
                 starts = np.cumsum([0, *[len(x) + 1 for x in bodies]])
                 at = np.flatnonzero(there[(grams >> np.uint64(64 - bits)).astype(np.int64)])
                 text = np.searchsorted(starts, at, "right") - 1
-                near = close_hits(at, text, least, widest)
+                near = close_hits(at, text, least, within)
                 at, text = at[near], text[near]
                 found = np.unique(text)
                 slices = [(np.searchsorted(text, x, "left"), np.searchsorted(text, x, "right")) for x in found]
@@ -198,12 +197,14 @@ def find_leaks(texts: DataFrame, id_column: str, text_column: str, items: DataFr
     slim = texts.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text <> ''")
     wanted = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("t")).where("item_id is not null and t <> ''").distinct()
     id_type, item_type = slim.schema["id"].dataType.simpleString(), wanted.schema["item_id"].dataType.simpleString()
-    item = stash(wanted.mapInPandas(_folded_items(edits), f"item_id {item_type}, item_body binary, edits int, least int, widest int").withColumn("iid", F.monotonically_increasing_id()), "items")
+    item = stash(wanted.mapInPandas(_folded_items(edits), f"item_id {item_type}, item_body binary, shortest int, edits int, least int").withColumn("iid", F.monotonically_increasing_id()), "items")
     grams = stash(item.mapInPandas(_item_grams, "gram bigint, iid bigint, ipos int"), "grams")
-    limits = item.agg(F.min("least").alias("least"), F.max("widest").alias("widest"), F.max("edits").alias("edits")).first()
-    if limits.least is None:
+    limits = item.agg(F.min("shortest").alias("shortest"), F.max("edits").alias("edits")).first()
+    if limits.shortest is None:
         return texts.sparkSession.createDataFrame([], f"id {id_type}, item_id {item_type}, n_edits int")
-    found = slim.mapInPandas(_suspects(*bitmap_of(grams), limits.least, limits.widest + limits.edits), f"id {id_type}, body binary, grams array<bigint>, at array<int>")
+    # Of any passage, a part as long as the shortest passage of all misses no more q-grams than its edits destroy.
+    places = limits.shortest - Q + 1
+    found = slim.mapInPandas(_suspects(*bitmap_of(grams), max(1, places - Q * limits.edits), places + limits.edits), f"id {id_type}, body binary, grams array<bigint>, at array<int>")
     found = stash(found.withColumn("rid", F.monotonically_increasing_id()), "suspects")
     step = max(1, limits.edits)  # bands of 2 step diagonals, a step apart: each stretch lies inside one
     hits = found.select("rid", F.explode(F.arrays_zip("grams", "at")).alias("h")).select("rid", F.col("h.grams").alias("gram"), F.col("h.at").alias("at"))

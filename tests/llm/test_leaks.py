@@ -53,7 +53,7 @@ def test_random_like_brute_force(spark):
         k = rng.randint(0, len(item) - 5)
         words[rng.randint(0, len(words)) : 0] = item[k : k + rng.randint(8, 18)]
         texts.append(" ".join(words))
-    for edits in (0, L.EDITS):
+    for edits in (0, 1, 2):
         assert {k for k, n in found(spark, texts, edits=edits).items() if n == 0} == brute(texts)
     assert {(0, 0), (1, 0), (5, 1), (10, 0), (10, 1), (11, 0)} <= brute(texts)
 
@@ -74,7 +74,7 @@ def test_planted_passages_with_edits(spark):
             passage[place] = passage[place] + "q" if how < 0.3 else "" if how < 0.5 else "z"
         texts.append(" ".join(rng.choice(vocabulary) for _ in range(50)) + " " + "".join(passage) + " " + " ".join(rng.choice(vocabulary) for _ in range(50)))
         want[i, item] = e
-    got = found(spark, texts, items)
+    got = found(spark, texts, items, edits=2)
     assert set(got) == set(want)
     assert all(got[k] <= e for k, e in want.items()) and sum(got[k] == e for k, e in want.items()) > 180
     assert set(found(spark, texts, items, edits=1)) == {k for k, e in want.items() if e <= 1 or got[k] <= 1}
