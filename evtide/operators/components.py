@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evtide.runtime import discard, stash
@@ -40,10 +40,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     work, before = first.where("a is not null and b is not null and a <> b"), None
     for _ in range(MAX_ROUNDS):
         large = stash(_star(work, large=True), "cc")
-        seen = Observation()
-        small = stash(_star(large, large=False).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "cc")
+        small = stash(_star(large, large=False), "cc")
         discard(large, work)
-        work, now = small, seen.get
+        work = small
+        now = work.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before or not now["n"]:
             break
         before = now
