@@ -1,9 +1,9 @@
 """Pairwise matches to groups by low-diameter decomposition.
 
 Each level: every vertex draws an exponential shift from a hash of its id; clusters grow hop by hop from the vertices
-with the earliest start times; each cluster becomes one super-vertex; the next level works on the edges between
-clusters only. The assignments of all levels are composed at the end. A level shuffles the edges a fixed number of
-times and keeps a small fraction of them, so the total is a small multiple of the first level.
+with the earliest start times until none is reached earlier by a neighbour; each cluster becomes one super-vertex; the
+next level works on the edges between clusters only. The assignments of all levels are composed at the end. A level
+keeps a small fraction of the edges, so the total is a small multiple of the first level.
 """
 
 from __future__ import annotations
@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtide.runtime import clean_key, read, stand_in, stash
+from evtide.runtime import broadcast_if_small, clean_key, discard, read, stand_in, stash
 
-#: Rate of the exponential shifts: adjacent vertices fall into one cluster with probability exp(-RATE), if the hops allow.
-RATE = 0.05
-#: Hops that a cluster may grow in one level.
-HOPS = 3
-#: A level at least halves the expected number of edges; this many levels are never needed.
+#: Rate of the exponential shifts: adjacent vertices fall into one cluster with probability exp(-RATE) or more.
+RATE = 0.1
+#: Hops before the first look at whether the clusters still grow; twice as many before each further look, up to the second number.
+STRIDE, LONGEST_STRIDE = 2, 16
+#: A level keeps a small part of the edges; this many levels are never needed.
 MAX_LEVELS = 60
 
 
@@ -38,38 +38,84 @@ def _shift(vertex: Column, level: int, seed: int) -> Column:
     return -F.log(uniform) / RATE
 
 
-def _decompose(edges: DataFrame, level: int, seed: int) -> DataFrame:
-    """(v, c): the cluster's centre of each vertex of edges (a, b); v <> c rows and centres alike.
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+
+
+def _begin(edges: DataFrame, level: int, seed: int) -> DataFrame:
+    """(v, t, c): the cluster's centre of each vertex of edges (a, b) after one hop.
 
     t is the time at which a cluster reaches a vertex: hops less the centre's shift. Plain numbers in the aggregation
     buffers keep it a hash aggregation. Of equal times either centre will do: both are in the vertex's component.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    earliest = [F.min("t").alias("t"), F.min_by("c", "t").alias("c")]
-    first = both.select("v", F.col("u").alias("c"), (1 - _shift(F.col("u"), level, seed)).alias("t")).groupBy("v").agg(*earliest)
+    first = _both(edges).select("v", F.col("u").alias("c"), (1 - _shift(F.col("u"), level, seed)).alias("t")).groupBy("v").agg(F.min("t").alias("t"), F.min_by("c", "t").alias("c"))
     own = first.withColumn("own", -_shift(F.col("v"), level, seed))
-    state = own.select("v", F.least("t", "own").alias("t"), F.when(F.col("t") < F.col("own"), F.col("c")).otherwise(F.col("v")).alias("c"))
-    for _ in range(HOPS - 1):
-        arrived = both.join(state.withColumnRenamed("v", "u"), "u").select("v", (F.col("t") + 1).alias("t"), "c")
-        state = state.unionByName(arrived).groupBy("v").agg(*earliest)
-    return state.select("v", "c")
+    return own.select("v", F.least("t", "own").alias("t"), F.when(F.col("t") < F.col("own"), F.col("c")).otherwise(F.col("v")).alias("c"))
+
 
+def _grow(edges: DataFrame, state: DataFrame, hops: int) -> DataFrame:
+    """The state after so many hops; staying where one is takes no time, so that each hop is one join and one aggregation."""
+    stay = [edges.select(F.col(x).alias("u"), F.col(x).alias("v"), F.lit(0).alias("takes")) for x in "ab"]
+    ways = _both(edges).withColumn("takes", F.lit(1)).unionByName(stay[0]).unionByName(stay[1])
+    for _ in range(hops):
+        arrived = ways.join(state.withColumnRenamed("v", "u"), "u").select("v", (F.col("t") + F.col("takes")).alias("t"), "c")
+        state = arrived.groupBy("v").agg(F.min("t").alias("t"), F.min_by("c", "t").alias("c"))
+    return state
 
-def _contract(edges: DataFrame, centre: DataFrame) -> DataFrame:
-    at = lambda x: centre.select(F.col("v").alias(x), F.col("c").alias(f"c{x}"))
-    crossing = edges.join(at("a"), "a").join(at("b"), "b").where("ca <> cb")
-    return crossing.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
 
+def _contract(edges: DataFrame, state: DataFrame) -> tuple[DataFrame, int, int]:
+    """The edges between clusters as edges of their centres, how many they are, and how many edges a cluster could still cross: none once all growth has ended."""
+    at = lambda x: state.select(F.col("v").alias(x), F.col("c").alias(f"c{x}"), F.col("t").alias(f"t{x}"))
+    placed = edges.join(at("a"), "a").join(at("b"), "b").withColumn("open", (F.col("ta") > F.col("tb") + 1) | (F.col("tb") > F.col("ta") + 1))
+    kept = placed.where("ca <> cb or open").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.bool_or("open").alias("open"))
+    crossing = stash(kept, "edges")
+    n = crossing.agg(F.count(F.lit(1)).alias("all"), F.count_if("open").alias("open")).first()
+    return crossing, n["all"], n["open"]
 
-def _hash_ids(pairs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs as 64-bit vertices, and the vertices with their ids; the seed is drawn anew until no two ids collide."""
+
+def _decompose(edges: DataFrame, level: int, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """(v, c) of each vertex, the contracted edges and their number. Clusters grow until no vertex is reached earlier by a neighbour's cluster: their radius follows from the shifts alone."""
+    state, hops = _begin(edges, level, seed), STRIDE
     while True:
-        h = lambda c: F.xxhash64(F.col(c), F.lit(seed))
-        nodes = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct().select("id", F.xxhash64("id", F.lit(seed)).alias("v"))
-        nodes = stash(nodes, "nodes")
-        if nodes.groupBy("v").count().where("count > 1").isEmpty():
-            return pairs.select(F.least(h("src"), h("dst")).alias("a"), F.greatest(h("src"), h("dst")).alias("b")).distinct(), nodes
-        seed += 1
+        further = stash(_grow(edges, state, hops), "centres")
+        discard(state)
+        state, hops = further, min(2 * hops, LONGEST_STRIDE)
+        crossing, n, still_open = _contract(edges, state)
+        if not still_open:
+            return state.select("v", "c"), crossing, n  # no edge inside a cluster is left
+        discard(crossing)
+
+
+def _hash(c: Column, seed: int) -> Column:
+    return F.xxhash64(c, F.lit(seed))
+
+
+def _number(pairs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs as 64-bit vertices (a, b), and the vertices with their ids (id, v).
+
+    A vertex is the hash of its id. Ids whose hash another id has too (about n * n / 2**65 of n) are hashed anew with
+    further seeds until all differ; only these few are joined to the pairs.
+    """
+    ends = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id")))
+    nodes, moved = stash(ends.distinct().select("id", _hash(F.col("id"), seed).alias("v")), "nodes"), None
+    for attempt in range(1, MAX_LEVELS):
+        shared = nodes.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v")
+        if shared.isEmpty():
+            break
+        among = nodes.join(broadcast_if_small(stash(shared, "shared")), "v")
+        kept = among.groupBy("v").agg(F.min("id").alias("kept"))
+        again = stash(among.join(kept, "v").where("id <> kept").select("id", _hash(F.col("id"), seed + attempt).alias("w")), "again")
+        ids = again.select("id") if moved is None else moved.select("id").unionByName(again.select("id")).distinct()
+        nodes = stash(nodes.join(broadcast_if_small(again), "id", "left").select("id", F.coalesce("w", "v").alias("v")), "nodes")
+        moved = stash(nodes.join(broadcast_if_small(ids), "id"), "moved")
+    else:
+        raise RuntimeError("ids without a number of their own are left")
+    vertices = pairs.select("src", "dst", _hash(F.col("src"), seed).alias("x"), _hash(F.col("dst"), seed).alias("y"))
+    if moved is not None:
+        for end, v in (("src", "x"), ("dst", "y")):
+            other = broadcast_if_small(moved).select(F.col("id").alias(end), F.col("v").alias("w"))
+            vertices = vertices.join(other, end, "left").withColumn(v, F.coalesce("w", v)).drop("w")
+    return vertices.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), nodes
 
 
 def group_pairs(pairs: DataFrame, src: str = "src", dst: str = "dst", seed: int = 17) -> DataFrame:
@@ -79,14 +125,17 @@ def group_pairs(pairs: DataFrame, src: str = "src", dst: str = "dst", seed: int
     order change nothing. No pairs: no rows. Other columns of pairs are not used. Ids of any orderable type.
     """
     pairs = stash(pairs.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null"), "pairs")
-    edges, nodes = _hash_ids(pairs, seed)
-    edges = stash(edges.where("a <> b"), "edges")
-    maps: list[DataFrame] = []
+    edges, nodes = _number(pairs, seed)
+    edges = stash(edges, "edges")
+    discard(pairs)
+    maps, left = [], edges.count()
     for level in range(MAX_LEVELS):
-        if edges.isEmpty():
+        if not left:
             break
-        maps.append(stash(_decompose(edges, level, seed), "centres"))
-        edges = stash(_contract(edges, maps[-1]), "edges")
+        centres, crossing, left = _decompose(edges, level, seed)
+        maps.append(centres)
+        discard(edges)
+        edges = crossing
     else:
         raise RuntimeError(f"edges left after {MAX_LEVELS} levels")
     if not maps:

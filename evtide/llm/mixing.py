@@ -2,7 +2,8 @@
 
 Sizes are tokens of a public tokenizer. Each source's quota is cut into blocks; block k of a source of weight w is
 released at slot floor(k / w) and due at slot ceil((k + 1) / w); of the released blocks that with the earliest deadline
-goes next, so at every slot each source is within one block of its share. Documents find their block by prefix sums.
+goes next, so at every slot each source is within one block of its share. Documents find their block by prefix sums. The
+shares reached, and the targets out of reach, are those of the documents placed.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ from __future__ import annotations
 import base64
 import heapq
 import math
+import os
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,10 +28,10 @@ from evtide.runtime import clean_key, read, stash
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which that tokenizer splits texts before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Slots of a schedule: the mixture is interleaved in so many blocks, whatever its size.
-SLOTS = 2000
-#: Hash ranges per source for the prefix sums: no task sums a whole source.
-RANGES = 256
+#: Slots of a cycle of the schedule; tokens of a block at most. A mixture of more than SLOTS such blocks is several cycles, in each of which every source gives the same part of its quota.
+SLOTS, BLOCK_TOKENS = 2000, 1 << 20
+#: Records per hash range for the prefix sums: no task sums a whole source, however large.
+RANGE_RECORDS = 100_000
 
 
 @lru_cache(2)
@@ -51,14 +54,18 @@ def count_tokens(text: str, path: str = TOKENIZER) -> int:
 
 def _sizes(path: str):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shipped = SparkFiles.get(os.path.basename(path))
+        there = shipped if os.path.exists(shipped) else path
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "source": pdf["source"], "tokens": [count_tokens(t, path) for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"], "source": pdf["source"], "tokens": [count_tokens(t, there) for t in pdf["text"]]})
 
     return f
 
 
 def sized(records: DataFrame, id_column: str, source_column: str, text_column: str, path: str = TOKENIZER) -> DataFrame:
-    """(id, source, tokens): sources trimmed and in lower case, '' for null; a null text has no tokens."""
+    """(id, source, tokens): sources trimmed and in lower case, '' for null; a null text has no tokens. The tokenizer's file goes from the driver to the executors."""
+    if os.path.exists(path):
+        records.sparkSession.sparkContext.addFile(path)
     slim = records.select(F.col(id_column).alias("id"), F.coalesce(clean_key(F.col(source_column)), F.lit("")).alias("source"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return slim.mapInPandas(_sizes(path), f"id {slim.schema['id'].dataType.simpleString()}, source string, tokens bigint")
 
@@ -92,10 +99,11 @@ class Mix:
     null max_repeats as 1; of repeated targets the largest counts. No records or no targets: an empty mixture.
     """
 
-    def __init__(self, sizes: DataFrame, targets: DataFrame, slots: int = SLOTS):
+    def __init__(self, sizes: DataFrame, targets: DataFrame, slots: int = SLOTS, block_tokens: int = BLOCK_TOKENS):
         spark = sizes.sparkSession
         self.sizes = sizes = sizes.select("id", "source", "tokens")
-        ranges = sizes.groupBy("source", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(5)), F.lit(RANGES)).cast("int").alias("r")).agg(F.sum("tokens").alias("tokens"))
+        self.n_ranges = max(1, -(-sizes.count() // RANGE_RECORDS))
+        ranges = sizes.groupBy("source", self._range().alias("r")).agg(F.sum("tokens").alias("tokens"))
         self.ranges = stash(ranges, "ranges")
         wanted = targets.select(clean_key(F.col("source")).alias("source"), F.coalesce(F.col("target_share"), F.lit(0.0)).alias("share"), F.coalesce(F.col("max_repeats"), F.lit(1)).alias("repeats")).where("source is not null")
         wanted = wanted.groupBy("source").agg(F.max("share").alias("share"), F.max("repeats").alias("repeats"))
@@ -105,14 +113,18 @@ class Mix:
         rows = wanted.join(totals, "source", "left").select("source", "share", "repeats", F.coalesce("size", F.lit(0)).alias("size")).collect()
         self.plan = []
         for r in rows:
-            want = Fraction(str(r["share"])) * total
-            most = r["repeats"] * r["size"]
-            self.plan.append((r["source"], r["share"], r["repeats"], r["size"], int(min(want, most)), want > most))
-        planned = sum(p[4] for p in self.plan)
-        self.block = max(1, -(-planned // slots))
-        self.order = pfair({p[0]: Fraction(p[4], planned) for p in self.plan}, -(-planned // self.block)) if planned else []
-        self.quotas = spark.createDataFrame(self.plan, "source string, target_share double, max_repeats int, size bigint, quota bigint, out_of_reach boolean")
-        self.schedule = spark.createDataFrame([(s, k, slot) for slot, (s, k) in enumerate(self.order)], "source string, block bigint, slot int")
+            demand = math.ceil(Fraction(str(r["share"])) * total)
+            self.plan.append((r["source"], r["share"], r["repeats"], r["size"], demand, min(demand, r["repeats"] * r["size"])))
+        cycles = max(1, -(-sum(p[5] for p in self.plan) // (slots * block_tokens)))
+        part = {p[0]: -(-p[5] // cycles) for p in self.plan}  # tokens of each source in a cycle
+        cycle = sum(part.values())
+        self.block = max(1, -(-cycle // slots))
+        self.order = pfair({s: Fraction(n, cycle) for s, n in part.items()}, -(-cycle // self.block)) if cycle else []
+        self.quotas = spark.createDataFrame([(*p, part[p[0]]) for p in self.plan], "source string, target_share double, max_repeats int, size bigint, demand bigint, quota bigint, part bigint")
+        self.schedule = spark.createDataFrame([(s, k, slot) for slot, (s, k) in enumerate(self.order)], "source string, block bigint, slot bigint")
+
+    def _range(self) -> Column:
+        return F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(5)), F.lit(self.n_ranges)).cast("int")
 
     def records(self) -> DataFrame:
         """(id, source, copy, slot, place, tokens): every use of a record, in the order of slot and place.
@@ -122,19 +134,21 @@ class Mix:
         """
         before = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
         offsets = self.ranges.select("source", "r", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset"))
-        placed = self.sizes.withColumn("h", F.xxhash64(F.col("id").cast("string"), F.lit(5))).withColumn("r", F.pmod("h", F.lit(RANGES)).cast("int"))
+        placed = self.sizes.withColumn("h", F.xxhash64(F.col("id").cast("string"), F.lit(5))).withColumn("r", self._range())
         inside = Window.partitionBy("source", "r").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        placed = placed.withColumn("end", F.sum("tokens").over(inside)).join(F.broadcast(self.quotas.select("source", "size", "quota").where("quota > 0")), "source")
+        placed = placed.withColumn("end", F.sum("tokens").over(inside)).join(F.broadcast(self.quotas.select("source", "size", "quota", "part").where("quota > 0")), "source")
         placed = placed.join(offsets, ["source", "r"]).withColumn("place", F.col("offset") + F.col("end") - F.col("tokens"))
         last = F.floor((F.col("quota") - F.col("place") - 1) / F.col("size")).cast("int")
-        copies = placed.where("place < quota").select("id", "source", "tokens", "size", "place", F.explode(F.sequence(F.lit(0), last)).alias("copy")).withColumn("place", F.col("place") + F.col("copy") * F.col("size"))
-        copies = copies.withColumn("block", F.floor(F.col("place") / self.block))
-        return copies.join(F.broadcast(self.schedule), ["source", "block"], "left").select("id", "source", "copy", F.coalesce("slot", F.lit(len(self.order))).alias("slot"), "place", "tokens")
+        copies = placed.where("place < quota").select("id", "source", "tokens", "size", "part", "place", F.explode(F.sequence(F.lit(0), last)).alias("copy")).withColumn("place", F.col("place") + F.col("copy") * F.col("size"))
+        copies = copies.withColumn("block", F.expr(f"(place % part) div {self.block}L"))
+        slot = F.expr(f"(place div part) * {max(1, len(self.order))}L") + F.coalesce("slot", F.lit(max(0, len(self.order) - 1)))
+        return copies.join(F.broadcast(self.schedule), ["source", "block"], "left").select("id", "source", "copy", slot.alias("slot"), "place", "tokens")
 
-    def report(self) -> DataFrame:
-        """One row per target source with the share its quota has of the mixture and whether its target is out of reach."""
-        planned = float(sum(p[4] for p in self.plan)) or 1.0
-        return self.quotas.withColumn("reached_share", F.col("quota") / F.lit(planned))
+    def reached(self) -> DataFrame:
+        """One row per target source: what the placed records come to, against what the target asks for."""
+        used = self.records().groupBy("source").agg(F.sum("tokens").alias("used"))
+        joined = F.broadcast(self.quotas).join(used, "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+        return joined.withColumn("out_of_reach", F.col("used") < F.col("demand"))
 
 
 def _mix(spark: SparkSession, base: str) -> Mix:
@@ -147,11 +161,11 @@ def p9_mix(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, base: str) -> DataFrame:
-    mix = _mix(spark, base)
-    used = mix.records().groupBy("source").agg(F.sum("tokens").alias("used"))
-    total = used.agg(F.sum("used")).scalar()
-    return mix.report().join(used, "source", "left").select("source", "target_share", "max_repeats", "size", "quota", "out_of_reach", F.coalesce(F.try_divide(F.col("used"), total), F.lit(0.0)).alias("share_reached"))
+    reached = stash(_mix(spark, base).reached(), "reached")
+    total = reached.agg(F.sum("used")).scalar()
+    return reached.select("source", "target_share", "max_repeats", "size", "quota", "used", "out_of_reach", F.coalesce(F.try_divide(F.col("used"), total), F.lit(0.0)).alias("share_reached"))
 
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
-    return _mix(spark, base).report().where("out_of_reach").select("source")
+    """The sources whose placed records, with all repeats allowed, don't come to what the target asks for."""
+    return _mix(spark, base).reached().where("out_of_reach").select("source")

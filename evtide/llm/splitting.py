@@ -25,7 +25,7 @@ AHEAD = 16
 PARAGRAPH, SENTENCE, WORD, NONE = 3, 2, 1, 0
 
 _SPACE = re.compile(r"\s+")
-_PARAGRAPH = re.compile(r"\s*\n\s*\n\s*|[ \f]\s*")
+_BREAK = re.compile("[\u2029\f]|\n[^\n]*\n")
 _SENTENCE = re.compile(r"[.!?。！？…][\"'”’»)\]]*(?:\s+|$)|(?<=[。！？])")
 
 
@@ -51,10 +51,14 @@ class RightmostMax:
 def strengths(text: str) -> np.ndarray:
     """strengths[i]: how natural a cut before character i is; index len(text) included."""
     out = np.zeros(len(text) + 1, np.int8)
+    paragraphs = []
     for m in _SPACE.finditer(text):
         out[m.start() : m.end() + 1] = WORD
-    for pattern, strength in ((_SENTENCE, SENTENCE), (_PARAGRAPH, PARAGRAPH)):
-        out[[m.end() for m in pattern.finditer(text)]] = strength
+        if m.end() - m.start() > 1 or m[0] in "\u2029\f":
+            if _BREAK.search(m[0]):  # a run of white space with an empty line or a break in it
+                paragraphs.append(m.end())
+    out[[m.end() for m in _SENTENCE.finditer(text)]] = SENTENCE
+    out[paragraphs] = PARAGRAPH
     return out
 
 
@@ -103,30 +107,31 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP, slack: int = SL
         start = _word(text, cut, low, high)
 
 
-def _pieces(id_type: str):
+def _pieces(texts: bool):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, k, a, b, s, t[a:b]) for i, t in zip(pdf["id"], pdf["text"], strict=True) for k, (a, b, s) in enumerate(split(t))]
+            rows = [(i, k, a, b, s, t[a:b] if texts else None) for i, t in zip(pdf["id"], pdf["text"], strict=True) for k, (a, b, s) in enumerate(split(t))]
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "stop", "strength", "piece_text"])
 
     return f
 
 
-def split_long(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def split_long(texts: DataFrame, id_column: str, text_column: str, with_texts: bool = True) -> DataFrame:
     """(id, piece, start, stop, strength, piece_text) of every text longer than LIMIT characters (code points).
 
     Nulls and texts up to the limit give no rows; of rows alike in id and text one counts; extra columns are not used.
-    strength 0 marks a forced cut: a stretch of more than LIMIT characters without white space.
+    strength 0 marks a forced cut: a stretch of more than LIMIT characters without white space. Without texts,
+    piece_text is null.
     """
     slim = texts.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.length("text") > LIMIT)
     kind = slim.schema["id"].dataType.simpleString()
-    return slim.distinct().mapInPandas(_pieces(kind), f"id {kind}, piece int, start int, stop int, strength int, piece_text string")
+    return slim.distinct().mapInPandas(_pieces(with_texts), f"id {kind}, piece int, start int, stop int, strength int, piece_text string")
 
 
-def _all_pieces(spark: SparkSession, base: str) -> DataFrame:
+def _all_pieces(spark: SparkSession, base: str, with_texts: bool = True) -> DataFrame:
     documents = read(spark, base, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
     articles = read(spark, base, "mna").select(F.concat(F.lit("m"), "article_id").alias("id"), F.col("article_text").alias("text"))
-    pieces = split_long(documents.unionByName(articles), "id", "text")
+    pieces = split_long(documents.unionByName(articles), "id", "text", with_texts)
     table = F.when(F.col("id").startswith("d"), "documents").otherwise("mna")
     return pieces.select(table.alias("source_table"), F.expr("substr(id, 2)").alias("item_id"), "piece", "start", "stop", "strength", "piece_text")
 
@@ -138,4 +143,4 @@ def p6_pieces(spark: SparkSession, base: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     kind = F.when(F.min("strength") == NONE, "forced").otherwise("natural")
-    return _all_pieces(spark, base).groupBy("source_table", "item_id").agg(kind.alias("cut_kind"))
+    return _all_pieces(spark, base, with_texts=False).groupBy("source_table", "item_id").agg(kind.alias("cut_kind"))

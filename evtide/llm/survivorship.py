@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtide.runtime import clean_key, read, stripped
+from evtide.runtime import broadcast_if_small, clean_key, read, stripped
 
 #: Precision names, finest first; names not listed come last.
 PRECISION_RANK = {"day": 0, "month": 1, "quarter": 2, "year": 3, "approximate": 3}
@@ -45,25 +45,35 @@ def longest_headline(summaries: Column) -> Column:
     return F.when(longest["n"] > 0, longest["x"])
 
 
-def event_members(events: DataFrame, details: DataFrame, groups: DataFrame) -> DataFrame:
-    """The members of each group with the few derived columns the survivorship needs, derived before any shuffle."""
+def event_members(events: DataFrame, details: DataFrame, groups: DataFrame, values: bool = True) -> DataFrame:
+    """The members of each group with the few derived columns the survivorship needs, derived before any shuffle; values: with the texts themselves, not only their ranks.
+
+    Where the members are few enough to broadcast, all other events go before their headlines are parsed.
+    """
+    groups = groups.select("group_id", "event_id").where("group_id is not null and event_id is not null").distinct()
+    ids = groups.select("event_id").distinct()
+    few = broadcast_if_small(ids)
+    of_members = lambda df: df if few is ids else df.join(few, "event_id", "left_semi")
     precision = F.coalesce(F.create_map(*[F.lit(x) for kv in PRECISION_RANK.items() for x in kv])[clean_key(F.col("event_date_precision"))], F.lit(OTHER_PRECISION))
-    slim = events.select("event_id", "loaded_at", F.col("event_date_value").alias("day"), precision.alias("precision"), clean_key(F.col("event_date_precision")).alias("precision_name"), longest_headline(F.col("headline_summaries")).alias("headline"), F.col("raw_extraction_count").alias("extraction"))
+    headline = longest_headline(F.col("headline_summaries"))
+    texts = [clean_key(F.col("event_date_precision")).alias("precision_name"), headline.alias("headline")] if values else []
+    slim = of_members(events).select("event_id", "loaded_at", F.col("event_date_value").alias("day"), precision.alias("precision"), F.length(headline).alias("headline_length"), F.col("raw_extraction_count").alias("extraction"), *texts)
     amount = F.col("deal_value_amount")
     deal = F.struct(F.col("deal_value_amount").alias("amount"), F.col("deal_value_currency").alias("currency"), F.col("deal_value_scale").alias("scale"), F.col("deal_value_text").alias("text"))
-    deals = details.where((amount > 0) & ~F.isnan(amount)).groupBy("event_id").agg(F.max(deal).alias("deal"))
-    return groups.select("group_id", "event_id").where("group_id is not null").distinct().join(slim, "event_id").join(deals, "event_id", "left")
+    deals = of_members(details).where((amount > 0) & ~F.isnan(amount)).groupBy("event_id").agg((F.max(deal) if values else F.bool_or(F.lit(True))).alias("deal"))
+    return groups.join(slim, "event_id").join(deals, "event_id", "left")
 
 
-def best_records(events: DataFrame, details: DataFrame, groups: DataFrame) -> DataFrame:
-    """The surviving record of each group: event_date (day and precision), deal_value (amount, currency, scale and text together), headline, extraction."""
+def best_records(events: DataFrame, details: DataFrame, groups: DataFrame, values: bool = True) -> DataFrame:
+    """The surviving record of each group: event_date (day and precision), deal_value (amount, currency, scale and text together), headline, extraction. Without values only who supplies them."""
+    told = lambda c: c if values else F.lit(None).cast("string")
     fields = [
-        Field("event_date", F.col("day").isNotNull(), F.col("precision"), F.struct("day", F.col("precision_name").alias("precision"))),
-        Field("deal_value", F.col("deal").isNotNull(), F.lit(0), F.col("deal")),
-        Field("headline", F.col("headline").isNotNull(), -F.length("headline"), F.col("headline")),
+        Field("event_date", F.col("day").isNotNull(), F.col("precision"), told(F.struct("day", F.col("precision_name").alias("precision")) if values else None)),
+        Field("deal_value", F.col("deal").isNotNull(), F.lit(0), told(F.col("deal"))),
+        Field("headline", F.col("headline_length").isNotNull(), -F.col("headline_length"), told(F.col("headline") if values else None)),
         Field("extraction", F.col("extraction").isNotNull(), -F.col("extraction").cast("bigint"), F.col("extraction")),
     ]
-    return survivors(event_members(events, details, groups), "group_id", "event_id", "loaded_at", fields)
+    return survivors(event_members(events, details, groups, values), "group_id", "event_id", "loaded_at", fields)
 
 
 def surviving(events: DataFrame, details: DataFrame, groups: DataFrame) -> DataFrame:
@@ -80,7 +90,7 @@ def p2_survivors(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    best = best_records(read(spark, base, "corp_events"), read(spark, base, "ma_details"), read(spark, base, "dup_group"))
+    best = best_records(read(spark, base, "corp_events"), read(spark, base, "ma_details"), read(spark, base, "dup_group"), values=False)
     names = ("event_date", "deal_value", "headline", "extraction")
     supplied = F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(n)["member"].alias("event_id")) for n in names])).alias("x")
     return best.select("group_id", supplied).select("group_id", "x.field_name", "x.event_id").where("event_id is not null")

@@ -41,13 +41,29 @@ def test_long_chain_and_hot_hub(spark):
     assert {got[f"m{i:04d}"] for i in range(2000)} == {"h"}
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=2, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_like_union_find(spark, pairs):
     named = [(f"n{a:02d}", f"n{b:02d}", "") for a, b in pairs]
     assert groups(spark, named) == brute([(a, b) for a, b, _ in named])
 
 
+def test_ids_with_one_hash_stay_apart(spark, monkeypatch):
+    few = lambda c, seed: G.F.pmod(G.F.xxhash64(c, G.F.lit(seed)), G.F.lit(40 if seed < 19 else 1 << 60))
+    monkeypatch.setattr(G, "_hash", few)
+    pairs = [(f"x{i:03d}", f"x{i + 1:03d}", "") for i in range(0, 200, 2)]
+    assert groups(spark, pairs) == brute([(a, b) for a, b, _ in pairs])
+
+
+def test_clusters_grow_until_the_start_times_are_used_up(spark):
+    """On a path with one cluster begun far before all others, that cluster takes the whole path in one level."""
+    edges = G.stash(spark.createDataFrame([(i, i + 1) for i in range(12)], "a bigint, b bigint"))
+    state = G.stash(spark.createDataFrame([(i, -1000.0 if i == 0 else 0.0, i) for i in range(13)], "v bigint, t double, c bigint"))
+    assert G._contract(edges, G._grow(edges, state, 10))[2]
+    _, left, still_open = G._contract(edges, G._grow(edges, state, 12))
+    assert not still_open and not left
+
+
 def test_firm_and_event_links(spark):
     alias = spark.createDataFrame([("f1", "cik", "007"), ("f2", "cik", " 7 "), ("f3", "ticker", "AB"), ("f4", "ticker", "ab\t"), ("f5", "cik", "000"), ("f6", "cik", "0000"), ("f7", "lei", "n/a"), ("f8", "lei", "N/A"), ("f9", "ticker", None), ("f3", "ticker", "AB")], "firm_id string, atom_type string, atom_value string")
     assert {(r.src, r.dst) for r in G.firm_links(alias).collect()} == {("f2", "f1"), ("f4", "f3")}

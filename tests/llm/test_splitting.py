@@ -68,3 +68,13 @@ def test_whole_table(spark):
     assert got[got["id"] == "a"]["strength"].min() == S.NONE and got[got["id"] == "b"]["strength"].min() > S.NONE
     assert (got["piece_text"].str.len() == got["stop"] - got["start"]).all()
     assert S.split_long(spark.createDataFrame([], "k string, body string"), "k", "body").count() == 0
+
+
+def test_white_space_takes_linear_time():
+    import time
+
+    began = time.time()
+    S.strengths("word" + " " * 400_000 + "\n" + " " * 400_000 + "word")
+    assert time.time() - began < 5
+    for text, want in (("a \n \t\n b", S.PARAGRAPH), ("a\n b", S.WORD), ("a\f b", S.PARAGRAPH), ("a. \u2029b", S.PARAGRAPH), ("a. b", S.SENTENCE)):
+        assert S.strengths(text)[text.index("b")] == want
