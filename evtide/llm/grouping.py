@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from evtide.runtime import broadcast_if_small, clean_key, discard, read, stand_in, stash
 
 #: Rate of the exponential shifts: adjacent vertices fall into one cluster with probability exp(-RATE) or more.
-RATE = 0.1
-#: Hops before the first look at whether the clusters still grow; twice as many before each further look, up to the second number.
-STRIDE, LONGEST_STRIDE = 2, 16
+RATE = 0.05
+#: Hops that all vertices take part in; after them only those go on that a cluster has reached anew.
+FIRST_HOPS = 3
 #: A level keeps a small part of the edges; this many levels are never needed.
 MAX_LEVELS = 60
 
@@ -53,37 +53,60 @@ def _begin(edges: DataFrame, level: int, seed: int) -> DataFrame:
     return own.select("v", F.least("t", "own").alias("t"), F.when(F.col("t") < F.col("own"), F.col("c")).otherwise(F.col("v")).alias("c"))
 
 
+def _earliest(arrived: DataFrame) -> DataFrame:
+    return arrived.groupBy("v").agg(F.min("t").alias("t"), F.min_by("c", "t").alias("c"))
+
+
 def _grow(edges: DataFrame, state: DataFrame, hops: int) -> DataFrame:
-    """The state after so many hops; staying where one is takes no time, so that each hop is one join and one aggregation."""
-    stay = [edges.select(F.col(x).alias("u"), F.col(x).alias("v"), F.lit(0).alias("takes")) for x in "ab"]
-    ways = _both(edges).withColumn("takes", F.lit(1)).unionByName(stay[0]).unionByName(stay[1])
+    """The state after so many hops."""
+    both = _both(edges)
     for _ in range(hops):
-        arrived = ways.join(state.withColumnRenamed("v", "u"), "u").select("v", (F.col("t") + F.col("takes")).alias("t"), "c")
-        state = arrived.groupBy("v").agg(F.min("t").alias("t"), F.min_by("c", "t").alias("c"))
+        arrived = both.join(state.withColumnRenamed("v", "u"), "u").select("v", (F.col("t") + 1).alias("t"), "c")
+        state = _earliest(state.unionByName(arrived))
     return state
 
 
+def _grow_on(edges: DataFrame, state: DataFrame, reached: DataFrame) -> DataFrame:
+    """The state when all growth has ended. reached: (v, t, c), stashed, vertices that a neighbour's cluster reaches earlier than state says; only such vertices go on, hop by hop, so that edges and state are read but not shuffled while they are few."""
+    both, gained = _both(edges), reached
+    while not reached.isEmpty():
+        arrived = stash(_earliest(both.join(broadcast_if_small(reached.withColumnRenamed("v", "u")), "u").select("v", (F.col("t") + 1).alias("t"), "c")), "arrived")
+        known = state.select("v", F.col("t").alias("was")).unionByName(gained.select("v", F.col("t").alias("was")))
+        best = known.join(broadcast_if_small(arrived.select("v")), "v", "left_semi").groupBy("v").agg(F.min("was").alias("was"))
+        reached = stash(arrived.join(best, "v").where("t < was").select("v", "t", "c"), "reached")
+        discard(arrived)
+        more = stash(_earliest(gained.unionByName(reached)), "gained")
+        discard(gained)
+        gained = more
+    late = broadcast_if_small(gained).select("v", F.col("t").alias("t2"), F.col("c").alias("c2"))
+    sooner = F.col("t2") < F.col("t")
+    return state.join(late, "v", "left").select("v", F.when(sooner, F.col("t2")).otherwise(F.col("t")).alias("t"), F.when(sooner, F.col("c2")).otherwise(F.col("c")).alias("c"))
+
+
 def _contract(edges: DataFrame, state: DataFrame) -> tuple[DataFrame, int, int]:
-    """The edges between clusters as edges of their centres, how many they are, and how many edges a cluster could still cross: none once all growth has ended."""
+    """The edges between clusters (v, w with their centres and times), how many they are, and how many edges a cluster could still cross: none once all growth has ended."""
     at = lambda x: state.select(F.col("v").alias(x), F.col("c").alias(f"c{x}"), F.col("t").alias(f"t{x}"))
-    placed = edges.join(at("a"), "a").join(at("b"), "b").withColumn("open", (F.col("ta") > F.col("tb") + 1) | (F.col("tb") > F.col("ta") + 1))
-    kept = placed.where("ca <> cb or open").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.bool_or("open").alias("open"))
-    crossing = stash(kept, "edges")
+    placed = edges.select("a", "b").join(at("a"), "a").join(at("b"), "b").withColumn("open", (F.col("ta") > F.col("tb") + 1) | (F.col("tb") > F.col("ta") + 1))
+    crossing = stash(placed.where("ca <> cb or open"), "crossing")
     n = crossing.agg(F.count(F.lit(1)).alias("all"), F.count_if("open").alias("open")).first()
     return crossing, n["all"], n["open"]
 
 
 def _decompose(edges: DataFrame, level: int, seed: int) -> tuple[DataFrame, DataFrame, int]:
     """(v, c) of each vertex, the contracted edges and their number. Clusters grow until no vertex is reached earlier by a neighbour's cluster: their radius follows from the shifts alone."""
-    state, hops = _begin(edges, level, seed), STRIDE
-    while True:
-        further = stash(_grow(edges, state, hops), "centres")
-        discard(state)
-        state, hops = further, min(2 * hops, LONGEST_STRIDE)
+    state = stash(_grow(edges, _begin(edges, level, seed), FIRST_HOPS - 1), "centres")
+    crossing, n, still_open = _contract(edges, state)
+    if still_open:
+        later = F.col("ta") > F.col("tb")
+        reached = crossing.where("open").select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("v"), (F.least("ta", "tb") + 1).alias("t"), F.when(later, F.col("cb")).otherwise(F.col("ca")).alias("c"))
+        grown = stash(_grow_on(edges, state, stash(_earliest(reached), "reached")), "centres")
+        discard(state, crossing)
+        state = grown
         crossing, n, still_open = _contract(edges, state)
-        if not still_open:
-            return state.select("v", "c"), crossing, n  # no edge inside a cluster is left
-        discard(crossing)
+        if still_open:
+            raise RuntimeError("clusters have not grown to their end")
+    contracted = stash(crossing.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "edges") if n else crossing
+    return state.select("v", "c"), contracted, n
 
 
 def _hash(c: Column, seed: int) -> Column:

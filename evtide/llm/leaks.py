@@ -207,7 +207,8 @@ def find_leaks(texts: DataFrame, id_column: str, text_column: str, items: DataFr
     found = slim.mapInPandas(_suspects(*bitmap_of(grams), max(1, places - Q * limits.edits), places + limits.edits), f"id {id_type}, body binary, grams array<bigint>, at array<int>")
     found = stash(found.withColumn("rid", F.monotonically_increasing_id()), "suspects")
     step = max(1, limits.edits)  # bands of 2 step diagonals, a step apart: each stretch lies inside one
-    hits = found.select("rid", F.explode(F.arrays_zip("grams", "at")).alias("h")).select("rid", F.col("h.grams").alias("gram"), F.col("h.at").alias("at"))
+    # A text's hits stay together, so that counting them needs no further shuffle.
+    hits = found.select("rid", "grams", "at").repartition("rid").select("rid", F.explode(F.arrays_zip("grams", "at")).alias("h")).select("rid", F.col("h.grams").alias("gram"), F.col("h.at").alias("at"))
     band = F.floor((F.col("ipos") - F.col("at")) / step)
     banded = hits.join(broadcast_if_small(grams), "gram").select("rid", "iid", "ipos", F.explode(F.array(band, band - 1)).alias("band"))
     counted = banded.groupBy("rid", "iid", "band").agg(F.count(F.lit(1)).alias("n"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"))

@@ -59,8 +59,9 @@ def test_clusters_grow_until_the_start_times_are_used_up(spark):
     """On a path with one cluster begun far before all others, that cluster takes the whole path in one level."""
     edges = G.stash(spark.createDataFrame([(i, i + 1) for i in range(12)], "a bigint, b bigint"))
     state = G.stash(spark.createDataFrame([(i, -1000.0 if i == 0 else 0.0, i) for i in range(13)], "v bigint, t double, c bigint"))
-    assert G._contract(edges, G._grow(edges, state, 10))[2]
-    _, left, still_open = G._contract(edges, G._grow(edges, state, 12))
+    assert G._contract(edges, state)[2]
+    reached = G.stash(spark.createDataFrame([(1, -999.0, 0)], state.schema))
+    _, left, still_open = G._contract(edges, G._grow_on(edges, state, reached))
     assert not still_open and not left
 
 
