@@ -86,5 +86,5 @@ def value_bucket(amount: Column, scale: Column) -> Column:
 
 
 def surrogate(root: Column) -> Column:
-    """A reproducible id from the smallest member of a cluster."""
-    return F.substring(F.sha2(root.cast("string"), 256), 1, 12)
+    """A reproducible id of 128 bits from the smallest member of a cluster."""
+    return F.substring(F.sha2(root.cast("string"), 256), 1, 32)

@@ -23,17 +23,31 @@ def plain_name(name: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(n, LEGAL_END, ""), r"^[ .,]+|[ .,]+$", ""), F.lit(""))
 
 
+#: First words that many firms share.
+COMMON_FIRST = ("the", "new", "american", "united", "global", "national", "first", "general", "international", "an", "a")
+
+
+def name_forms(name: Column) -> Column:
+    """The forms under which a title may name a firm: the plain name, its first two words, and its first word if it is long and telling enough. Empty for null."""
+    plain = plain_name(name)
+    words = F.split(plain, " ")
+    first = F.get(words, F.lit(0))
+    forms = F.array(plain, F.when(F.size(words) >= 2, F.concat_ws(" ", first, F.get(words, F.lit(1)))), F.when((F.length(first) >= 4) & ~first.isin(*COMMON_FIRST), first))
+    return F.array_distinct(F.filter(forms, lambda x: F.length(x) >= 3))
+
+
 def linked_articles(events: DataFrame, articles: DataFrame) -> DataFrame:
     """Funnel levels 0 and 1 per event: linked articles, and those whose title names the firm. events (event_id, name), articles (event_id, url, title)."""
-    named = events.select("event_id", plain_name(F.col("name")).alias("plain")).distinct()
+    named = events.select("event_id", name_forms(F.col("name")).alias("forms")).distinct()
     joined = named.join(articles.select("event_id", "url", "title").distinct(), "event_id", "left")
-    hit = F.coalesce(F.contains(F.lower("title"), F.col("plain")), F.lit(False))
+    hit = F.coalesce(F.exists("forms", lambda f: F.contains(F.lower("title"), f)), F.lit(False))
     return joined.groupBy("event_id").agg(F.countDistinct("url").alias("l0"), F.count_distinct(F.when(hit, F.col("url"))).alias("l1"))
 
 
 def nearest(articles: DataFrame, k: int = TOP_ARTICLES) -> DataFrame:
-    """The k articles of each event that are nearest in days; unknown distances come last, ties by article."""
-    order = Window.partitionBy("event_id").orderBy(F.coalesce(F.abs("days_to_event"), F.lit(99999)), "article_id")
+    """The k articles of each event that are nearest in days, by days_to_event or else the days between day and event_day if there are such columns; unknown distances come last, ties by article."""
+    known = [F.abs("days_to_event"), *([F.abs(F.datediff("day", "event_day"))] if {"day", "event_day"} <= set(articles.columns) else [])]
+    order = Window.partitionBy("event_id").orderBy(F.coalesce(*known, F.lit(99999)), "article_id")
     return articles.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -133,7 +147,7 @@ def valid_answers(answers: DataFrame, required: list[str], nullable: list[str],
         ok = ok & F.col(c).isNull()
     if seen is None:
         return answers.withColumn("valid", F.coalesce(ok, F.lit(False)))
-    row = answers.withColumn("_row", F.xxhash64(*answers.columns)).distinct()
+    row = answers.withColumn("_row", F.sha2(F.to_json(F.struct(*answers.columns), {"ignoreNullFields": "false"}), 256)).distinct()
     cited = row.select("_row", "qid", F.explode(F.array_distinct("cited_urls")).alias("url"))
     unseen = cited.join(seen.select("qid", "url").distinct(), ["qid", "url"], "left_anti").select("_row").distinct().withColumn("_unseen", F.lit(True))
     return row.join(unseen, "_row", "left").withColumn("valid", F.coalesce(ok, F.lit(False)) & F.col("_unseen").isNull()).drop("_row", "_unseen")

@@ -19,7 +19,7 @@ def lenient_date(text: Column) -> Column:
     """A date in one of four fixed notations at the start of a text, else null."""
     t = F.trim(text)
     dashed = F.regexp_replace(F.regexp_extract(t, r"^(\d{4}([-/.])\d{1,2}\2\d{1,2})(?!\d)", 1), r"[/.]", "-")
-    compact = F.regexp_replace(F.regexp_extract(t, r"^(\d{8})$", 1), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    compact = F.regexp_replace(F.regexp_extract(t, r"^(\d{8})", 1), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
     return F.coalesce(F.nullif(dashed, F.lit("")), F.nullif(compact, F.lit(""))).try_cast("date")
 
 
@@ -34,7 +34,7 @@ def list_recall(gold: DataFrame, pred: DataFrame, days: int = 0, by_position: bo
     Questions without gold rows are scored by empty_answer.
     """
     keys = ["firm", "event_type", *(["pos"] if by_position else [])]
-    g = gold.withColumn("_g", F.xxhash64("qid", *keys, "day"))
+    g = gold.withColumn("_g", F.struct(*keys, "day"))
     p = pred.select(F.col("qid").alias("q"), *[F.col(k).alias(f"p_{k}") for k in keys], F.col("day").alias("p_day"), F.col("urls").alias("p_urls")).distinct()
     same = F.col("qid") == F.col("q")
     for k in keys:

@@ -137,7 +137,7 @@ def _chains(s: SparkSession, d: str) -> DataFrame:
 CHAIN = f"""WITH RECURSIVE {KEYS}, {_reach(HUBS)}, ma AS (SELECT DISTINCT e.event_id, lower(trim(deal_id)) AS deal, coalesce(cc.root, e.event_id) AS cluster FROM corp_events e LEFT JOIN cc ON cc.id = e.event_id WHERE event_type LIKE 'M&A%'),
     kn AS (SELECT * FROM ma WHERE deal NOT IN ('', '-', 'n/a', 'none', 'null', 'tbd', 'unknown') AND NOT regexp_matches(deal, '^0+$')), dh AS (SELECT DISTINCT kn.cluster AS a, h.b FROM kn JOIN (SELECT deal, min(cluster) AS b FROM kn GROUP BY deal) h ON kn.deal = h.deal WHERE kn.cluster <> h.b),
     s2 AS (SELECT a, b FROM dh UNION SELECT b, a FROM dh), r2(id, r) AS (SELECT DISTINCT a, a FROM s2 UNION SELECT r2.id, s2.b FROM r2 JOIN s2 ON r2.r = s2.a), c2 AS (SELECT id, min(r) AS root FROM r2 GROUP BY id)
-    SELECT DISTINCT event_id, coalesce(c2.root, cluster) AS deal_root, sha256(coalesce(c2.root, cluster))[1:12] AS deal_key FROM ma LEFT JOIN c2 ON c2.id = ma.cluster"""
+    SELECT DISTINCT event_id, coalesce(c2.root, cluster) AS deal_root, sha256(coalesce(c2.root, cluster))[1:32] AS deal_key FROM ma LEFT JOIN c2 ON c2.id = ma.cluster"""
 
 
 def _primary(s: SparkSession, d: str) -> DataFrame:

@@ -89,5 +89,5 @@ TABLE: dict[str, tuple[object, str]] = {
     "score_missing": (_all_scores, f"WITH {ALL} SELECT * FROM a"),
     "score_summary_grouping_sets": (lambda s, d: S.summary(_all_scores(s, d)), f"WITH {ALL} SELECT CASE grouping(id, sub_axis, cap) WHEN 3 THEN 'id' WHEN 5 THEN 'sub_axis' WHEN 6 THEN 'cap' ELSE 'overall' END AS level, coalesce(id, sub_axis, cap, 'all') AS name, count(*) AS n, avg(no_prov) AS no_prov, count(with_prov) AS n_prov, avg(with_prov) AS with_prov FROM a GROUP BY GROUPING SETS ((id), (sub_axis), (cap), ())"),
     "score_legacy_one_to_one": (lambda s, d: S.one_to_one(g := gold(s, d), pred(g)), ""),
-    "date_multi_format": (lambda s, d: read(s, d, "prediction").select("prediction_id", S.lenient_date(F.col("anchor_date")).alias("day")).where("day is not null").distinct(), r"WITH t AS (SELECT DISTINCT prediction_id, trim(anchor_date) AS t FROM prediction), u AS (SELECT prediction_id, CASE WHEN regexp_matches(t, '^\d{8}$') THEN try_strptime(t, '%Y%m%d') WHEN regexp_matches(t, '^\d{4}-\d{1,2}-\d{1,2}([^0-9]|$)') THEN try_strptime(regexp_extract(t, '^\d{4}-\d{1,2}-\d{1,2}'), '%Y-%m-%d') WHEN regexp_matches(t, '^\d{4}/\d{1,2}/\d{1,2}([^0-9]|$)') THEN try_strptime(regexp_extract(t, '^\d{4}/\d{1,2}/\d{1,2}'), '%Y/%m/%d') WHEN regexp_matches(t, '^\d{4}\.\d{1,2}\.\d{1,2}([^0-9]|$)') THEN try_strptime(regexp_extract(t, '^\d{4}\.\d{1,2}\.\d{1,2}'), '%Y.%m.%d') END AS d FROM t) SELECT prediction_id, CAST(d AS DATE) AS day FROM u WHERE d IS NOT NULL"),
+    "date_multi_format": (lambda s, d: read(s, d, "prediction").select("prediction_id", S.lenient_date(F.col("anchor_date")).alias("day")).where("day is not null").distinct(), r"WITH t AS (SELECT DISTINCT prediction_id, trim(anchor_date) AS t FROM prediction), u AS (SELECT prediction_id, CASE WHEN regexp_matches(t, '^\d{8}') THEN try_strptime(left(t, 8), '%Y%m%d') WHEN regexp_matches(t, '^\d{4}-\d{1,2}-\d{1,2}([^0-9]|$)') THEN try_strptime(regexp_extract(t, '^\d{4}-\d{1,2}-\d{1,2}'), '%Y-%m-%d') WHEN regexp_matches(t, '^\d{4}/\d{1,2}/\d{1,2}([^0-9]|$)') THEN try_strptime(regexp_extract(t, '^\d{4}/\d{1,2}/\d{1,2}'), '%Y/%m/%d') WHEN regexp_matches(t, '^\d{4}\.\d{1,2}\.\d{1,2}([^0-9]|$)') THEN try_strptime(regexp_extract(t, '^\d{4}\.\d{1,2}\.\d{1,2}'), '%Y.%m.%d') END AS d FROM t) SELECT prediction_id, CAST(d AS DATE) AS day FROM u WHERE d IS NOT NULL"),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evtide.plans import templates as T
-from evtide.plans.views import DEALS, EC, ES, EV, TC, TV, corporate, deal_sides, trade
+from evtide.plans.views import DEALS, EC, EH, ES, EV, TC, TV, corporate, deal_sides, trade
 
 Y18 = {"W_start": "2018-01-01", "W_end": "2018-12-31"}
 Q97 = {"W_start": "1997-01-01", "W_end": "1997-03-31"}
@@ -70,14 +70,17 @@ TABLE: dict[str, tuple[object, str]] = {
     "a21_firm_any_role": (_trade("A.2.1", E="1-URGENT", F="s3", W_start="1996-01-01", W_end="1998-12-31"), f"WITH {TV}, {TC} SELECT {ANSWER} FROM ev WHERE event_type = '1-URGENT' AND day BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND (upper(firm) = 'S3' OR event_id IN (SELECT event_id FROM ec WHERE upper(ticker) = 'S3'))"),
     "a21_firm_any_role_corporate": (_corporate("A.2.1", E="M&A_announce", F="DCT", W_start="2014-01-01", W_end="2024-12-31"), f"WITH {EV}, {EC} SELECT coalesce(firm, 'DCT') AS firm_ticker, event_type, strftime(day, '%Y-%m-%d') AS anchor_date, event_id FROM ev WHERE event_type = 'M&A_announce' AND day BETWEEN DATE '2014-01-01' AND DATE '2024-12-31' AND (upper(firm) = 'DCT' OR event_id IN (SELECT event_id FROM ec WHERE upper(ticker) = 'DCT'))"),
     "a31_role_filter": (_trade("A.3.1", E="1-URGENT", R="Seller"), f"WITH {TV}, {TC} SELECT {ANSWER} FROM ({ROLE97} AND ec.role = 'seller' AND e.event_type = '1-URGENT' AND e.day BETWEEN DATE '1997-01-01' AND DATE '1997-03-31')"),
-    "b11_before_anchor": (_corporate("B.1.1", E="M&A_announce", F_anchor="DCT", direction="before"), f"WITH {EV} SELECT {ANSWER} FROM ev WHERE event_type = 'M&A_announce' AND {IN18} AND firm <> 'DCT' AND day < (SELECT min(day) FROM ev WHERE event_type = 'M&A_announce' AND {IN18} AND firm = 'DCT')"),
-    "b11_after_anchor": (_corporate("B.1.1", E="M&A_announce", F_anchor="DCT", direction="after"), f"WITH {EV} SELECT {ANSWER} FROM ev WHERE event_type = 'M&A_announce' AND {IN18} AND firm <> 'DCT' AND day > (SELECT min(day) FROM ev WHERE event_type = 'M&A_announce' AND {IN18} AND firm = 'DCT')"),
+    "b11_before_anchor": (_corporate("B.1.1", E="M&A_announce", F_anchor="DCT", direction="before"), f"WITH {EV} SELECT {ANSWER} FROM ev WHERE event_type = 'M&A_announce' AND {IN18} AND upper(firm) <> 'DCT' AND day < (SELECT min(day) FROM ev WHERE event_type = 'M&A_announce' AND {IN18} AND upper(firm) = 'DCT')"),
+    "b11_after_anchor": (_corporate("B.1.1", E="M&A_announce", F_anchor="dct", direction="after"), f"WITH {EV} SELECT {ANSWER} FROM ev WHERE event_type = 'M&A_announce' AND {IN18} AND upper(firm) <> 'DCT' AND day > (SELECT min(day) FROM ev WHERE event_type = 'M&A_announce' AND {IN18} AND upper(firm) = 'DCT')"),
     "b12_symmetric_gap": (_corporate("B.1.2", E1="CEO_change", E2="CFO_change", gap_days=30), _pairs_sql("CEO_change", "CFO_change", -30, 30, "d1 AS e1_anchor_date, d2 AS e2_anchor_date, abs(n) AS gap_days")),
     "b13_directional_lag": (_corporate("B.1.3", E_trigger="M&A_announce", E_followup="M&A_complete", lag_days=120), _pairs_sql("M&A_announce", "M&A_complete", 0, 120, "d1 AS e_trigger_anchor_date, d2 AS e_followup_anchor_date, n AS lag_days")),
     "b14_deal_pairing": (_deals, f"""WITH {DEALS} SELECT an.buyer AS buyer_ticker, an.target AS target_ticker, strftime(an.day, '%Y-%m-%d') AS announce_date, strftime(min(cm.day), '%Y-%m-%d') AS close_date
         FROM an JOIN cm ON (an.hint = cm.hint OR (an.buyer = cm.buyer AND an.target = cm.target)) AND date_diff('day', an.day, cm.day) BETWEEN 0 AND 90 WHERE an.day BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY 1, 2, an.day"""),
-    "b15_days_between": (_corporate("B.1.5", F="DCT", E1="CEO_change", E2="CFO_change", W_start="2014-01-01", W_end="2024-12-31"), f"WITH {EV}, a AS (SELECT min(day) AS d1 FROM ev WHERE firm = 'DCT' AND event_type = 'CEO_change' AND day BETWEEN DATE '2014-01-01' AND DATE '2024-12-31'), b AS (SELECT d1, (SELECT min(day) FROM ev WHERE firm = 'DCT' AND event_type = 'CFO_change' AND day >= d1) AS d2 FROM a) SELECT 'DCT' AS firm_ticker, strftime(d1, '%Y-%m-%d') AS e1_anchor_date, strftime(d2, '%Y-%m-%d') AS e2_anchor_date, date_diff('day', d1, d2) AS days_between FROM b WHERE d1 IS NOT NULL AND d2 IS NOT NULL"),
-    "b15_contract": (lambda s, d: T.b15_contract(corporate(s, d), {"W_start": "2014-01-01", "W_end": "2024-12-31", "F": "DCT", "E1": "CEO_change", "E2": "CFO_change"}), f"WITH {EV}, b AS (SELECT min(day) FILTER (WHERE event_type = 'CEO_change') AS d1, min(day) FILTER (WHERE event_type = 'CFO_change') AS d2 FROM ev WHERE firm = 'DCT' AND day BETWEEN DATE '2014-01-01' AND DATE '2024-12-31') SELECT 'DCT' AS firm_ticker, strftime(d1, '%Y-%m-%d') AS e1_anchor_date, strftime(d2, '%Y-%m-%d') AS e2_anchor_date, date_diff('day', d1, d2) AS days_between FROM b WHERE d1 IS NOT NULL AND d2 IS NOT NULL"),
+    "b14_corporate": (_corporate("B.1.4", W_start="2014-01-01", W_end="2024-12-31", horizon_days=400), f"""WITH {EV}, {EC}, {EH}, x AS (SELECT DISTINCT e.event_type, e.day, b.ticker AS buyer, t.ticker AS target, hint FROM ev e LEFT JOIN (SELECT * FROM ec WHERE role = 'acquirer' AND ticker IS NOT NULL) b ON b.event_id = e.event_id LEFT JOIN (SELECT * FROM ec WHERE role = 'target' AND ticker IS NOT NULL) t ON t.event_id = e.event_id LEFT JOIN eh ON eh.event_id = e.event_id WHERE e.day IS NOT NULL)
+        SELECT a.buyer AS buyer_ticker, a.target AS target_ticker, strftime(a.day, '%Y-%m-%d') AS announce_date, strftime(min(c.day), '%Y-%m-%d') AS close_date FROM x a JOIN x c ON (a.hint = c.hint OR (a.buyer = c.buyer AND a.target = c.target)) AND date_diff('day', a.day, c.day) BETWEEN 0 AND 400
+        WHERE a.event_type = 'M&A_announce' AND c.event_type = 'M&A_complete' AND a.buyer IS NOT NULL AND a.target IS NOT NULL AND a.day BETWEEN DATE '2014-01-01' AND DATE '2024-12-31' GROUP BY 1, 2, a.day"""),
+    "b15_days_between": (_corporate("B.1.5", F="DCT", E1="CEO_change", E2="CFO_change", W_start="2014-01-01", W_end="2024-12-31"), f"WITH {EV}, a AS (SELECT min(day) AS d1 FROM ev WHERE upper(firm) = 'DCT' AND event_type = 'CEO_change' AND day BETWEEN DATE '2014-01-01' AND DATE '2024-12-31'), b AS (SELECT d1, (SELECT min(day) FROM ev WHERE upper(firm) = 'DCT' AND event_type = 'CFO_change' AND day >= d1) AS d2 FROM a) SELECT 'DCT' AS firm_ticker, strftime(d1, '%Y-%m-%d') AS e1_anchor_date, strftime(d2, '%Y-%m-%d') AS e2_anchor_date, date_diff('day', d1, d2) AS days_between FROM b WHERE d1 IS NOT NULL AND d2 IS NOT NULL"),
+    "b15_contract": (lambda s, d: T.b15_contract(corporate(s, d), {"W_start": "2014-01-01", "W_end": "2024-12-31", "F": "DCT", "E1": "CEO_change", "E2": "CFO_change"}), f"WITH {EV}, b AS (SELECT min(day) FILTER (WHERE event_type = 'CEO_change') AS d1, min(day) FILTER (WHERE event_type = 'CFO_change') AS d2 FROM ev WHERE upper(firm) = 'DCT' AND day BETWEEN DATE '2014-01-01' AND DATE '2024-12-31') SELECT 'DCT' AS firm_ticker, strftime(d1, '%Y-%m-%d') AS e1_anchor_date, strftime(d2, '%Y-%m-%d') AS e2_anchor_date, date_diff('day', d1, d2) AS days_between FROM b WHERE d1 IS NOT NULL AND d2 IS NOT NULL"),
     "b21_extremal_limit1": (lambda s, d: T.b21(corporate(s, d), {**Y18, "E": "CEO_change", "position": "first"}, ties=False), f"WITH {EV} SELECT {ANSWER} FROM ({CEO18}) ORDER BY day, firm, event_id LIMIT 1"),
     "b21_extremal_ties": (_corporate("B.2.1", E="CEO_change", position="last"), f"WITH {EV}, x AS ({CEO18}) SELECT {ANSWER} FROM x WHERE day = (SELECT max(day) FROM x)"),
     "b22_ordered_multitype": (_trade("B.2.2", F="C5", E_set=["1-URGENT", "5-LOW"], W_start="1990-01-01", W_end="2005-12-31"), f"WITH {TV}, {TC} SELECT {ANSWER}, CAST(row_number() OVER (ORDER BY day, event_type, event_id) AS INTEGER) AS position FROM ev WHERE event_type IN ('1-URGENT', '5-LOW') AND (upper(firm) = 'C5' OR event_id IN (SELECT event_id FROM ec WHERE upper(ticker) = 'C5'))"),

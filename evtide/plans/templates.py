@@ -39,6 +39,11 @@ def answer(df: DataFrame) -> DataFrame:
     return df.select(F.col("firm").alias("firm_ticker"), "event_type", F.date_format("day", "yyyy-MM-dd").alias("anchor_date"), "event_id")
 
 
+def _is(ticker: object) -> Column:
+    """Whether an event's firm is this one; tickers compare without case."""
+    return F.upper("firm") == str(ticker).upper()
+
+
 def a11(v: Views, p: Params) -> DataFrame:
     """Events of a type in a window."""
     return answer(_typed(v, p, p["E"]))
@@ -75,9 +80,10 @@ def a31(v: Views, p: Params) -> DataFrame:
 def b11(v: Views, p: Params) -> DataFrame:
     """Other firms' events strictly before or after the first such event of the anchor firm; nothing without one."""
     events = _typed(v, p, p["E"])
-    anchor = events.where(F.col("firm") == p["F_anchor"]).agg(F.min("day").alias("d")).scalar()
+    own = _is(p["F_anchor"])
+    anchor = events.where(own).agg(F.min("day").alias("d")).scalar()
     beyond = F.col("day") < anchor if p["direction"] == "before" else F.col("day") > anchor
-    return answer(events.where((F.col("firm") != p["F_anchor"]) & beyond))
+    return answer(events.where(~own & beyond))
 
 
 def band_join(left: DataFrame, right: DataFrame, key: str, low: int, high: int) -> DataFrame:
@@ -135,9 +141,23 @@ def b14(announced: DataFrame, completed: DataFrame, p: Params) -> DataFrame:
     return pairs.groupBy(F.col("buyer").alias("buyer_ticker"), F.col("target").alias("target_ticker"), F.date_format("announced", "yyyy-MM-dd").alias("announce_date")).agg(F.date_format(F.min("closed"), "yyyy-MM-dd").alias("close_date"))
 
 
+def sides(v: Views, event_type: str) -> DataFrame:
+    """(hint, buyer, target, day) of the events of a type: a row for each buyer with each target, nulls where an event has none."""
+    of = lambda role, name: v.companies.where((F.col("role") == role) & F.col("ticker").isNotNull()).select("event_id", F.col("ticker").alias(name)).distinct()
+    events = v.events.where((F.col("event_type") == event_type) & F.col("day").isNotNull()).select("event_id", "day").distinct()
+    placed = events.join(of("acquirer", "buyer"), "event_id", "left").join(of("target", "target"), "event_id", "left")
+    hinted = placed.join(v.hints, "event_id", "left") if v.hints is not None else placed.withColumn("hint", F.lit(None).cast("string"))
+    return hinted.select("hint", "buyer", "target", "day").distinct()
+
+
+def b14_of_views(v: Views, p: Params) -> DataFrame:
+    """B.1.4 over the views: announcements and completions with their buyers and targets."""
+    return b14(sides(v, str(p.get("E_announce", "M&A_announce"))), sides(v, str(p.get("E_complete", "M&A_complete"))), p)
+
+
 def b15(v: Views, p: Params) -> DataFrame:
     """Days from a firm's first event of one type in the window to its next of another, however late: one row or none."""
-    mine = v.events.where((F.col("firm") == p["F"]) & F.col("event_type").isin(p["E1"], p["E2"]))
+    mine = v.events.where(_is(p["F"]) & F.col("event_type").isin(p["E1"], p["E2"]))
     first = mine.where((F.col("event_type") == p["E1"]) & within(F.col("day"), p)).agg(F.min("day").alias("d1"))
     second = mine.where((F.col("event_type") == p["E2"]) & (F.col("day") >= first.scalar())).agg(F.min("day").alias("d2"))
     return second.select(F.lit(p["F"]).alias("firm_ticker"), F.date_format(first.scalar(), "yyyy-MM-dd").alias("e1_anchor_date"), F.date_format("d2", "yyyy-MM-dd").alias("e2_anchor_date"), F.datediff("d2", first.scalar()).cast("bigint").alias("days_between")).where("days_between is not null")
@@ -145,7 +165,7 @@ def b15(v: Views, p: Params) -> DataFrame:
 
 def b15_contract(v: Views, p: Params) -> DataFrame:
     """Signed days between a firm's first events of two types, both in the window: one row or none."""
-    mine = v.events.where((F.col("firm") == p["F"]) & within(F.col("day"), p))
+    mine = v.events.where(_is(p["F"]) & within(F.col("day"), p))
     ends = mine.agg(F.min(F.when(F.col("event_type") == p["E1"], F.col("day"))).alias("d1"), F.min(F.when(F.col("event_type") == p["E2"], F.col("day"))).alias("d2"))
     return ends.where("d1 is not null and d2 is not null").select(F.lit(p["F"]).alias("firm_ticker"), F.date_format("d1", "yyyy-MM-dd").alias("e1_anchor_date"), F.date_format("d2", "yyyy-MM-dd").alias("e2_anchor_date"), F.datediff("d2", "d1").cast("bigint").alias("days_between"))
 
@@ -218,7 +238,7 @@ def b44(v: Views, p: Params) -> DataFrame:
 
 
 BUILDERS: dict[str, Callable[[Views, Params], DataFrame]] = {
-    "A.1.1": a11, "A.1.2": a12, "A.2.1": a21, "A.3.1": a31, "B.1.1": b11, "B.1.2": b12, "B.1.3": b13, "B.1.5": b15, "B.2.1": b21, "B.2.2": b22, "B.3.1": b31, "B.3.2": b32, "B.3.3": b33, "B.4.1": b41, "B.4.2": b42, "B.4.3": b43, "B.4.4": b44,
+    "A.1.1": a11, "A.1.2": a12, "A.2.1": a21, "A.3.1": a31, "B.1.1": b11, "B.1.2": b12, "B.1.3": b13, "B.1.4": b14_of_views, "B.1.5": b15, "B.2.1": b21, "B.2.2": b22, "B.3.1": b31, "B.3.2": b32, "B.3.3": b33, "B.4.1": b41, "B.4.2": b42, "B.4.3": b43, "B.4.4": b44,
 }
 
 
@@ -232,7 +252,7 @@ def cited(answers: DataFrame, sources: DataFrame, *ids: str) -> DataFrame:
 
     Answers must be distinct. Null urls are left out; answers without any have an empty array.
     """
-    keyed = answers.withColumn("_row", F.xxhash64(*answers.columns))
+    keyed = answers.withColumn("_row", F.sha2(F.to_json(F.struct(*answers.columns), {"ignoreNullFields": "false"}), 256))
     each = keyed.select("_row", F.explode(F.array_distinct(F.array(*ids))).alias("event_id"))
     urls = each.join(sources.where("url is not null"), "event_id").groupBy("_row").agg(F.array_sort(F.collect_set("url")).alias("cited_urls"))
     return keyed.join(urls, "_row", "left").withColumn("cited_urls", F.coalesce("cited_urls", F.array().cast("array<string>"))).drop("_row")

@@ -7,16 +7,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtide.runtime import read
+from evtide.runtime import clean_key, read, stand_in
 
 
 @dataclass(frozen=True)
 class Views:
-    """events (event_id, event_type, firm, day); companies (event_id, role, ticker); sources (event_id, url)."""
+    """events (event_id, event_type, firm, day); companies (event_id, role, ticker); sources (event_id, url); hints (event_id, hint), if there are any."""
 
     events: DataFrame
     companies: DataFrame
     sources: DataFrame
+    hints: DataFrame | None = None
 
 
 def corporate(spark: SparkSession, base: str) -> Views:
@@ -25,7 +26,9 @@ def corporate(spark: SparkSession, base: str) -> Views:
     mna = read(spark, base, "mna")
     companies = mna.where("role is not null").select("event_id", F.when(F.col("role") == "buyer", "acquirer").otherwise(F.col("role")).alias("role"), "ticker").distinct()
     sources = mna.where("article_url is not null").select("event_id", F.col("article_url").alias("url")).distinct()
-    return Views(events, companies, sources)
+    hint = clean_key(F.col("cluster_key_hint"))
+    hints = read(spark, base, "ma_details").select("event_id", F.when(~stand_in(hint), hint).alias("hint")).where("hint is not null").distinct()
+    return Views(events, companies, sources, hints)
 
 
 def trade(spark: SparkSession, base: str) -> Views:
@@ -53,6 +56,7 @@ def deal_sides(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
 #: The same views in SQL, to put before a query.
 EV = "ev AS (SELECT event_id, event_type, firm_ticker AS firm, event_date_value AS day FROM corp_events)"
 EC = "ec AS (SELECT DISTINCT event_id, CASE WHEN role = 'buyer' THEN 'acquirer' ELSE role END AS role, ticker FROM mna WHERE role IS NOT NULL)"
+EH = """eh AS (SELECT DISTINCT event_id, lower(trim(cluster_key_hint, E' \\t\\n\\r')) AS hint FROM ma_details WHERE lower(trim(cluster_key_hint, E' \\t\\n\\r')) NOT IN ('', 'n/a', 'unknown', 'none', '-', 'null', 'tbd') AND NOT regexp_matches(trim(cluster_key_hint, E' \\t\\n\\r'), '^0+$'))"""
 ES = "es AS (SELECT DISTINCT event_id, article_url AS url FROM mna WHERE article_url IS NOT NULL)"
 TV = "ev AS (SELECT o_orderkey AS event_id, o_orderpriority AS event_type, 'C' || o_custkey AS firm, CAST(o_orderdate AS DATE) AS day FROM orders)"
 TC = "ec AS (SELECT o_orderkey AS event_id, 'acquirer' AS role, 'C' || o_custkey AS ticker FROM orders UNION ALL SELECT DISTINCT l_orderkey, 'seller', 'S' || l_suppkey FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 'target', 'P' || l_partkey FROM lineitem)"

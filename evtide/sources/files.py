@@ -16,8 +16,9 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, value): the lines with their place, for rules such as "the last one wins"."""
-    return spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value").where(F.trim("value") != "")
+    """(file, at, value): the lines with their place, for rules such as "the last one wins": by the file's name, the block of the file and the line inside it."""
+    raw = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"), "value")
+    return raw.where(F.trim("value") != "").select(F.col("file_path").alias("file"), F.struct("file_path", "file_block_start", "line").alias("at"), "value")
 
 
 def last_per_key(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
@@ -47,7 +48,7 @@ def csv_corpus(spark: SparkSession, path: str, required: tuple[str, ...] = ("art
     df = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
     if missing := set(required) - set(df.columns):
         raise ValueError(f"missing columns: {sorted(missing)}")
-    placed = df.na.fill("").withColumn("_at", F.monotonically_increasing_id())
+    placed = df.na.fill("").withColumn("_at", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")))
     return placed.groupBy("article_url").agg(F.max_by(F.struct(*[c for c in df.columns if c != "article_url"]), "_at").alias("r")).select("article_url", "r.*")
 
 
