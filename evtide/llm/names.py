@@ -79,11 +79,11 @@ def parse(raw: str) -> tuple[list[str], str]:
     return kept, ticker
 
 
-def parts(words: list[str], generic: frozenset[str]) -> list[str]:
-    """What is indexed of a name: its telling words, and neighbours run together, in alphabetical order if both are generic."""
+def parts(words: list[str], generic: frozenset[str], reference: bool = False) -> list[str]:
+    """What is indexed of a name: its telling words, and neighbours run together; of a reference in both orders, so that a name finds it in whichever order it has the words."""
     out = [w for w in words if len(w) > 2 and w not in generic]
     for a, b in zip(words, words[1:], strict=False):
-        out.append(min(a, b) + max(a, b) if a in generic and b in generic else a + b)
+        out += [a + b, b + a] if reference else [a + b]
     return list(dict.fromkeys(map(shape, out)))
 
 
@@ -232,10 +232,10 @@ def _bands_of(bands: int, rows: int):
     return f
 
 
-def _parts_of(generic: frozenset[str]):
+def _parts_of(generic: frozenset[str], reference: bool):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "parts": [parts(list(w), generic) for w in pdf["words"]]})
+            yield pd.DataFrame({"id": pdf["id"], "parts": [parts(list(w), generic, reference) for w in pdf["words"]]})
 
     return f
 
@@ -278,19 +278,21 @@ def link_names(names: DataFrame, name: str, references: DataFrame, entity: str,
     ref = ref.join(own.groupBy("entity").agg(F.collect_set("t").alias("ref_tickers")), "entity", "left")
     ref = stash(ref.select(F.col("id").alias("ref_id"), "entity", F.col("words").alias("ref_words"), "ref_tickers", "name"), "refs")
 
-    def indexed(of: DataFrame) -> DataFrame:
-        return of.mapInPandas(_parts_of(generic), "id bigint, parts array<string>").select("id", F.explode("parts").alias("part"))
+    def indexed(of: DataFrame, reference: bool) -> DataFrame:
+        return of.mapInPandas(_parts_of(generic, reference), "id bigint, parts array<string>").select("id", F.explode("parts").alias("part"))
 
     def banded(of: DataFrame, as_part: str) -> DataFrame:
         distinct = of.select("part").distinct().mapInPandas(_bands_of(bands, rows), "part string, bands array<bigint>")
         return distinct.select(F.col("part").alias(as_part), F.explode("bands").alias("h"))
 
-    ref_parts = indexed(ref.select(F.col("ref_id").alias("id"), F.col("ref_words").alias("words")))
+    ref_parts = indexed(ref.select(F.col("ref_id").alias("id"), F.col("ref_words").alias("words")), True)
     todo = names.select(F.col(name).alias("name")).where("name is not null").where(~F.col("name").rlike(blank)).distinct()
     todo = stash(todo.mapInPandas(_parse_batches, schema).withColumn("id", F.xxhash64("name")), "names")
-    mine = stash(indexed(todo.select("id", "words")), "parts")
-    close = F.levenshtein("part", "ref_part", 3) >= 0  # an upper bound of what the verification accepts
-    alike = banded(mine, "part").join(broadcast_if_small(banded(ref_parts, "ref_part")), "h").select("part", "ref_part").distinct().where(close)
+    mine = stash(indexed(todo.select("id", "words"), False), "parts")
+    # The verification accepts two edits of a word, each perhaps a swap of neighbours, which counts twice here.
+    close = F.levenshtein("part", "ref_part", 4) >= 0
+    ref_bands = broadcast_if_small(stash(banded(ref_parts, "ref_part"), "bands"))
+    alike = banded(mine, "part").join(ref_bands, "h").select("part", "ref_part").distinct().where(close)
     by_band = mine.join(alike, "part").join(ref_parts.select(F.col("id").alias("ref_id"), F.col("part").alias("ref_part")), "ref_part").select("id", "ref_id").distinct()
     candidates = by_band.join(todo, "id").join(broadcast_if_small(ref), "ref_id")
     entity_type = ref.schema["entity"].dataType.simpleString()

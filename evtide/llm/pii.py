@@ -6,7 +6,9 @@ deterministic parser expands to the exact span and validates it. Texts are read
 
 from __future__ import annotations
 
+import bisect
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -48,12 +50,17 @@ friday saturday sunday and or the of in at
 """.split())
 #: Cues of telephone and identity numbers.
 PHONE_CUES = ["tel", "phone", "telephone", "telefon", "téléphone", "teléfono", "call", "ring", "dial", "dial-in", "fax", "mobile", "cell", "ph.", "t:", "m:", "p:", "hotline"]
-ID_CUES = ["ssn", "social security", "national insurance", "nino", "ni number", "ni no", "passport", "reisepass", "passeport", "pasaporte", "identity card", "id card", "personalausweis", "national id", "tax id", "tax identification", "taxpayer", "tin", "steuer-id", "steuernummer", "utr", "nif", "dni", "itin"]
+ID_CUES = ["ssn", "social", "social security", "national insurance", "nino", "ni number", "ni no", "passport", "reisepass", "passeport", "pasaporte", "identity card", "id card", "personalausweis", "national id", "tax id", "tax identification", "taxpayer", "tin", "steuer-id", "steuernummer", "utr", "nif", "dni", "itin"]
 AT_SIGNS = ["@", "(at)", "[at]", "{at}", "<at>", " at "]
 STREETS_AFTER = ["street", "st", "st.", "avenue", "ave", "ave.", "road", "rd", "rd.", "lane", "ln", "ln.", "drive", "dr.", "boulevard", "blvd", "blvd.", "court", "square", "terrace", "crescent", "place", "parkway", "pkwy"]
 STREETS_WORD_END = ["straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "ufer"]
 STREETS_BEFORE = ["rue", "boulevard", "avenue", "quai", "chemin", "impasse", "calle", "avenida", "plaza", "paseo", "via"]
 
+#: Words of mailboxes that belong to no person.
+ROLE_WORDS = frozenset("investor relations press office media info contact news support sales service team desk help admin editor".split())
+#: Characters around an address in which its owner's name is looked for.
+NEAR = 80
+
 _HYPHENS = r"\-‐‑–"
 _LOCAL = re.compile(r"[\w.%+'-]+$")
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
@@ -86,14 +93,34 @@ _AFTER_LOWER = re.compile(rf"(?:[ \xa0][a-z]\.)*[ \xa0](?:(?:{PARTICLES})[ \xa0]
 _BEFORE = re.compile(rf"(?:^|\n|[:;(>•]\s?)((?:(?:{PARTICLES}|{PARTICLES.upper()})[ \xa0])*{_FAMILIES},[ \xa0])$")
 _MORE_INITIALS = re.compile(r"(?:[ \xa0][A-ZÀ-Þ]\.)+")
 _SIGN_OFF = re.compile(r"(?:thanks|regards|cheers|best|sincerely|contact|from|attn|cc)[,:]?\s+$", re.I)
+_FULL_NAME = re.compile(rf"(?<!\w)([A-ZÀ-Þ][^\W\d_]+){_INITIALS}[ \xa0](?:(?:{PARTICLES})[ \xa0])*({_FAMILIES})(?!\w)")
+_STREET_NEXT = re.compile(r"[ \xa0](?:Street|Avenue|Ave|Road|Lane|Drive|Boulevard|Blvd|Square|Place|Platz|Straße)\b")
 _TITLED = re.compile(rf"\.?[ \xa0](?=([A-ZÀ-Þ][^\W\d_]+)({_AFTER.pattern}))")
 
 
+class Accents(dict):
+    """str.translate table that keeps the length: an accented letter becomes its plain letter."""
+
+    def __missing__(self, code: int) -> int:
+        plain = unicodedata.normalize("NFD", chr(code))
+        self[code] = ord(plain[0]) if code > 127 and len(plain) > 1 and unicodedata.combining(plain[1]) else code
+        return self[code]
+
+
+_ACCENTS = Accents()
+
+
+def unaccented(text: str) -> str:
+    return text if text.isascii() else text.translate(_ACCENTS)
+
+
 def _automaton() -> ahocorasick.Automaton:
     found: dict[str, list[str]] = {}
     for kind, words in (("at", AT_SIGNS), ("phone", PHONE_CUES), ("id", ID_CUES), ("street", STREETS_AFTER), ("strasse", STREETS_WORD_END), ("rue", STREETS_BEFORE), ("given", GIVEN_NAMES), ("title", TITLES)):
         for w in words:
-            found.setdefault(w, []).append(kind)
+            kinds = found.setdefault(unaccented(w), [])
+            if kind not in kinds:
+                kinds.append(kind)
     out = ahocorasick.Automaton()
     for w, kinds in found.items():
         out.add_word(w, (len(w), tuple(kinds)))
@@ -113,7 +140,7 @@ class Finder:
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         original, text = text, same_length_fold(text)
-        low, n = same_length_lower(text), len(text)
+        low, n = unaccented(same_length_lower(text)), len(text)
         spans: list[tuple[int, int, str]] = []
         for last, (length, kinds) in self.anchors.iter(low):
             start, end = last + 1 - length, last + 1
@@ -141,15 +168,35 @@ class Finder:
         if "+" in text or "00" in text:
             spans += [s for m in _PLUS.finditer(text) if (s := self._number(text, m.start()))]
         spans += [(m.start(), self._extended(text, m.end()), PHONE) for m in _UNCUED.finditer(text)]
+        for a, b, kind in set(spans):
+            if kind == EMAIL:
+                spans += self._owners(text, a, b)
         return self._resolve(spans) if spans else []
 
     @staticmethod
     def _resolve(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """The spans without overlaps: the kind that comes first stays, of one kind the longest. Kept spans stay in order, so that only the two neighbours need a look."""
         kept: list[tuple[int, int, str]] = []
-        for a, b, kind in sorted(set(spans), key=lambda s: (ORDER.index(s[2]), s[0] - s[1], s[0])):
-            if all(b <= x or a >= y for x, y, _ in kept):
-                kept.append((a, b, kind))
-        return sorted(kept)
+        for span in sorted(set(spans), key=lambda s: (ORDER.index(s[2]), s[0] - s[1], s[0])):
+            i = bisect.bisect(kept, span)
+            if (i == 0 or kept[i - 1][1] <= span[0]) and (i == len(kept) or kept[i][0] >= span[1]):
+                kept.insert(i, span)
+        return kept
+
+    @staticmethod
+    def _owners(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+        """Names near an email address whose local part is made of them, whatever the names."""
+        local = re.split(r"[^a-z]+", unaccented(_AT.split(text[start:end].lower(), maxsplit=1)[0]))
+        tokens = {w for w in local if len(w) >= 3}
+        if not tokens or tokens & ROLE_WORDS:
+            return
+        for a, b in ((max(0, start - NEAR), start), (end, end + NEAR)):
+            for m in _FULL_NAME.finditer(text, a, min(b, len(text))):
+                given, family = unaccented(m[1].lower()), unaccented(m[2].lower())
+                if {given, family} & (NOT_FAMILY | ROLE_WORDS):
+                    continue
+                if tokens & {given[0] + family, given + family, family + given[0], family + given} or family in tokens and (given in tokens or given[0] in local):
+                    yield m.start(), m.end(), NAME
 
     @staticmethod
     def _email(text: str, start: int, end: int) -> tuple[int, int, str] | None:
@@ -237,7 +284,7 @@ class Finder:
             m = _AFTER.match(text, end)
         else:
             m = _AFTER_LOWER.match(text, end) if _SIGN_OFF.search(text[max(0, start - 16) : start]) else None
-        if m and m[1].lower() not in NOT_FAMILY:
+        if m and m[1].lower() not in NOT_FAMILY and not _STREET_NEXT.match(text, m.end()):
             return start, m.end(), NAME
         if given[0].isupper() and (before := _BEFORE.search(text[max(0, start - 60) : start])) and before[1].rstrip(", \xa0").lower() not in NOT_FAMILY:
             more = _MORE_INITIALS.match(text, end)

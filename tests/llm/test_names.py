@@ -12,11 +12,11 @@ def link(spark, names, refs, tickers=()):
     return {x["name"]: x["entity"] for x in N.link_names(n, "raw", r, "entity", "name", t).collect()}
 
 
-REFS = [("f1", "melvermo_consolidated_insurance_co"), ("f2", "jiampella_media_holdings"), ("f3", "jiampella_water_co"), ("f4", "tethume_water_plc"), ("f4", "old_lantern"), *[(f"g{i}", f"{w}ax_{b}_inc") for i, (w, b) in enumerate([("bort", "water"), ("drim", "media"), ("gelf", "insurance"), ("prok", "water"), ("stuv", "media"), ("zond", "insurance"), ("quim", "water"), ("xerb", "media"), ("vanth", "insurance"), ("lomp", "consolidated"), ("nard", "consolidated"), ("hesk", "consolidated"), ("wilp", "consolidated"), ("jand", "insurance"), ("kurf", "consolidated"), ("yolk", "media")])]]
+REFS = [("f1", "melvermo_consolidated_insurance_co"), ("f2", "jiampella_media_holdings"), ("f3", "jiampella_water_co"), ("f4", "tethume_water_plc"), ("f4", "old_lantern"), ("f5", "silver_anvil"), *[(f"g{i}", f"{w}ax_{b}_inc") for i, (w, b) in enumerate([("bort", "water"), ("drim", "media"), ("gelf", "insurance"), ("prok", "water"), ("stuv", "media"), ("zond", "insurance"), ("quim", "water"), ("xerb", "media"), ("vanth", "insurance"), ("lomp", "consolidated"), ("nard", "consolidated"), ("hesk", "consolidated"), ("wilp", "consolidated"), ("jand", "insurance"), ("kurf", "consolidated"), ("yolk", "media")])]]
 
 
 def test_variants_and_other_firms(spark):
-    same = {"Melvermo Cons. Ins.": "f1", "Mlevermo Consolidated Inurance & Co.": "f1", "Melve rmo Consolidated Insurance": "f1", "Insurance, Melvermo Consolidated": "f1", "MELVERMO": "f1", "Mélvermo Insurance": "f1", "the Old Lantern": "f4", "Tethume": "f4", "JiampellaMedia": "f2", "Jiampella Watre": "f3", "MCIC": "f1", "TTH": "f4", "Tethume Water (XNYS: TTH)": "f4"}
+    same = {"Melvermo Cons. Ins.": "f1", "Mlevermo Consolidated Inurance & Co.": "f1", "Melve rmo Consolidated Insurance": "f1", "Insurance, Melvermo Consolidated": "f1", "MELVERMO": "f1", "Mélvermo Insurance": "f1", "the Old Lantern": "f4", "Silver Anvl": "f5", "Anvil Silver": "f5", "Tethume": "f4", "JiampellaMedia": "f2", "Jiampella Watre": "f3", "MCIC": "f1", "TTH": "f4", "Tethume Water (XNYS: TTH)": "f4"}
     other = ["Jiampella", "Jiampella Chemical", "Melvermo Media", "Someone Else Insurance", "", "  ", "-", None, "x" * 5000, "Water"]
     got = link(spark, [*same, *other, "MELVERMO"], REFS, [("f4", "TTH"), (None, "X"), ("f2", None)])
     assert got == same
