@@ -1,9 +1,9 @@
 """Pairwise matches to groups by low-diameter decomposition.
 
 Each level: every vertex draws an exponential shift from a hash of its id; clusters grow hop by hop from the vertices
-with the earliest start times until none is reached earlier by a neighbour; each cluster becomes one super-vertex; the
-next level works on the edges between clusters only. The assignments of all levels are composed at the end. A level
-keeps a small fraction of the edges, so the total is a small multiple of the first level.
+with the earliest start times; each cluster becomes one super-vertex; the next level works on the edges between
+clusters only. The assignments of all levels are composed at the end. A level shuffles the edges a fixed number of
+times and keeps a small fraction of them, so the total is a small multiple of the first level.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from evtide.runtime import broadcast_if_small, clean_key, discard, read, stand_in, stash
 
-#: Rate of the exponential shifts: adjacent vertices fall into one cluster with probability exp(-RATE) or more.
+#: Rate of the exponential shifts: adjacent vertices fall into one cluster with probability exp(-RATE), if the hops allow.
 RATE = 0.05
-#: Hops that all vertices take part in; after them only those go on that a cluster has reached anew.
-FIRST_HOPS = 3
+#: Hops that a cluster may grow in one level: the radius is bounded by it, not by the shifts; what it cuts off is joined in later levels.
+HOPS = 3
 #: A level keeps a small part of the edges; this many levels are never needed.
 MAX_LEVELS = 60
 
@@ -42,71 +42,27 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
-def _begin(edges: DataFrame, level: int, seed: int) -> DataFrame:
-    """(v, t, c): the cluster's centre of each vertex of edges (a, b) after one hop.
+def _decompose(edges: DataFrame, level: int, seed: int) -> DataFrame:
+    """(v, c): the cluster's centre of each vertex of edges (a, b); v <> c rows and centres alike.
 
     t is the time at which a cluster reaches a vertex: hops less the centre's shift. Plain numbers in the aggregation
     buffers keep it a hash aggregation. Of equal times either centre will do: both are in the vertex's component.
     """
-    first = _both(edges).select("v", F.col("u").alias("c"), (1 - _shift(F.col("u"), level, seed)).alias("t")).groupBy("v").agg(F.min("t").alias("t"), F.min_by("c", "t").alias("c"))
+    both = _both(edges)
+    earliest = [F.min("t").alias("t"), F.min_by("c", "t").alias("c")]
+    first = both.select("v", F.col("u").alias("c"), (1 - _shift(F.col("u"), level, seed)).alias("t")).groupBy("v").agg(*earliest)
     own = first.withColumn("own", -_shift(F.col("v"), level, seed))
-    return own.select("v", F.least("t", "own").alias("t"), F.when(F.col("t") < F.col("own"), F.col("c")).otherwise(F.col("v")).alias("c"))
-
-
-def _earliest(arrived: DataFrame) -> DataFrame:
-    return arrived.groupBy("v").agg(F.min("t").alias("t"), F.min_by("c", "t").alias("c"))
+    state = own.select("v", F.least("t", "own").alias("t"), F.when(F.col("t") < F.col("own"), F.col("c")).otherwise(F.col("v")).alias("c"))
+    for _ in range(HOPS - 1):
+        arrived = both.join(state.withColumnRenamed("v", "u"), "u").select("v", (F.col("t") + 1).alias("t"), "c")
+        state = state.unionByName(arrived).groupBy("v").agg(*earliest)
+    return state.select("v", "c")
 
 
-def _grow(edges: DataFrame, state: DataFrame, hops: int) -> DataFrame:
-    """The state after so many hops."""
-    both = _both(edges)
-    for _ in range(hops):
-        arrived = both.join(state.withColumnRenamed("v", "u"), "u").select("v", (F.col("t") + 1).alias("t"), "c")
-        state = _earliest(state.unionByName(arrived))
-    return state
-
-
-def _grow_on(edges: DataFrame, state: DataFrame, reached: DataFrame) -> DataFrame:
-    """The state when all growth has ended. reached: (v, t, c), stashed, vertices that a neighbour's cluster reaches earlier than state says; only such vertices go on, hop by hop, so that edges and state are read but not shuffled while they are few."""
-    both, gained = _both(edges), reached
-    while not reached.isEmpty():
-        arrived = stash(_earliest(both.join(broadcast_if_small(reached.withColumnRenamed("v", "u")), "u").select("v", (F.col("t") + 1).alias("t"), "c")), "arrived")
-        known = state.select("v", F.col("t").alias("was")).unionByName(gained.select("v", F.col("t").alias("was")))
-        best = known.join(broadcast_if_small(arrived.select("v")), "v", "left_semi").groupBy("v").agg(F.min("was").alias("was"))
-        reached = stash(arrived.join(best, "v").where("t < was").select("v", "t", "c"), "reached")
-        discard(arrived)
-        more = stash(_earliest(gained.unionByName(reached)), "gained")
-        discard(gained)
-        gained = more
-    late = broadcast_if_small(gained).select("v", F.col("t").alias("t2"), F.col("c").alias("c2"))
-    sooner = F.col("t2") < F.col("t")
-    return state.join(late, "v", "left").select("v", F.when(sooner, F.col("t2")).otherwise(F.col("t")).alias("t"), F.when(sooner, F.col("c2")).otherwise(F.col("c")).alias("c"))
-
-
-def _contract(edges: DataFrame, state: DataFrame) -> tuple[DataFrame, int, int]:
-    """The edges between clusters (v, w with their centres and times), how many they are, and how many edges a cluster could still cross: none once all growth has ended."""
-    at = lambda x: state.select(F.col("v").alias(x), F.col("c").alias(f"c{x}"), F.col("t").alias(f"t{x}"))
-    placed = edges.select("a", "b").join(at("a"), "a").join(at("b"), "b").withColumn("open", (F.col("ta") > F.col("tb") + 1) | (F.col("tb") > F.col("ta") + 1))
-    crossing = stash(placed.where("ca <> cb or open"), "crossing")
-    n = crossing.agg(F.count(F.lit(1)).alias("all"), F.count_if("open").alias("open")).first()
-    return crossing, n["all"], n["open"]
-
-
-def _decompose(edges: DataFrame, level: int, seed: int) -> tuple[DataFrame, DataFrame, int]:
-    """(v, c) of each vertex, the contracted edges and their number. Clusters grow until no vertex is reached earlier by a neighbour's cluster: their radius follows from the shifts alone."""
-    state = stash(_grow(edges, _begin(edges, level, seed), FIRST_HOPS - 1), "centres")
-    crossing, n, still_open = _contract(edges, state)
-    if still_open:
-        later = F.col("ta") > F.col("tb")
-        reached = crossing.where("open").select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("v"), (F.least("ta", "tb") + 1).alias("t"), F.when(later, F.col("cb")).otherwise(F.col("ca")).alias("c"))
-        grown = stash(_grow_on(edges, state, stash(_earliest(reached), "reached")), "centres")
-        discard(state, crossing)
-        state = grown
-        crossing, n, still_open = _contract(edges, state)
-        if still_open:
-            raise RuntimeError("clusters have not grown to their end")
-    contracted = stash(crossing.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "edges") if n else crossing
-    return state.select("v", "c"), contracted, n
+def _contract(edges: DataFrame, centre: DataFrame) -> DataFrame:
+    at = lambda x: centre.select(F.col("v").alias(x), F.col("c").alias(f"c{x}"))
+    crossing = edges.join(at("a"), "a").join(at("b"), "b").where("ca <> cb")
+    return crossing.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
 
 
 def _hash(c: Column, seed: int) -> Column:
@@ -151,12 +107,12 @@ def group_pairs(pairs: DataFrame, src: str = "src", dst: str = "dst", seed: int
     edges, nodes = _number(pairs, seed)
     edges = stash(edges, "edges")
     discard(pairs)
-    maps, left = [], edges.count()
+    maps: list[DataFrame] = []
     for level in range(MAX_LEVELS):
-        if not left:
+        if edges.isEmpty():
             break
-        centres, crossing, left = _decompose(edges, level, seed)
-        maps.append(centres)
+        maps.append(stash(_decompose(edges, level, seed), "centres"))
+        crossing = stash(_contract(edges, maps[-1]), "edges")
         discard(edges)
         edges = crossing
     else:

@@ -55,16 +55,6 @@ def test_ids_with_one_hash_stay_apart(spark, monkeypatch):
     assert groups(spark, pairs) == brute([(a, b) for a, b, _ in pairs])
 
 
-def test_clusters_grow_until_the_start_times_are_used_up(spark):
-    """On a path with one cluster begun far before all others, that cluster takes the whole path in one level."""
-    edges = G.stash(spark.createDataFrame([(i, i + 1) for i in range(12)], "a bigint, b bigint"))
-    state = G.stash(spark.createDataFrame([(i, -1000.0 if i == 0 else 0.0, i) for i in range(13)], "v bigint, t double, c bigint"))
-    assert G._contract(edges, state)[2]
-    reached = G.stash(spark.createDataFrame([(1, -999.0, 0)], state.schema))
-    _, left, still_open = G._contract(edges, G._grow_on(edges, state, reached))
-    assert not still_open and not left
-
-
 def test_firm_and_event_links(spark):
     alias = spark.createDataFrame([("f1", "cik", "007"), ("f2", "cik", " 7 "), ("f3", "ticker", "AB"), ("f4", "ticker", "ab\t"), ("f5", "cik", "000"), ("f6", "cik", "0000"), ("f7", "lei", "n/a"), ("f8", "lei", "N/A"), ("f9", "ticker", None), ("f3", "ticker", "AB")], "firm_id string, atom_type string, atom_value string")
     assert {(r.src, r.dst) for r in G.firm_links(alias).collect()} == {("f2", "f1"), ("f4", "f3")}
