@@ -125,6 +125,8 @@ def _suspects(bits: int, bitmap: bytes, least: int, within: int):
                 near = close_hits(at, text, least, within)
                 at, text = at[near], text[near]
                 found = np.unique(text)
+                if not len(found):  # pandas takes a column of no lists for numbers, which Arrow does not make lists of
+                    continue
                 slices = [(np.searchsorted(text, x, "left"), np.searchsorted(text, x, "right")) for x in found]
                 yield pd.DataFrame({"id": ids[a:b][found], "body": [bodies[x] for x in found], "grams": [grams[at[i:j]].view(np.int64) for i, j in slices], "at": [(at[i:j] - starts[x]).astype(np.int32) for x, (i, j) in zip(found, slices, strict=True)]})
 

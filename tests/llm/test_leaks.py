@@ -107,3 +107,12 @@ def test_table(spark):
     assert set(got) == brute(TEXTS) | {(99, 0), (5, 0)} and len(got) == len(set(got))
     assert L.find_leaks(docs, "doc", "body", items.where("false"), "item", "item_text").count() == 0
     assert L.find_leaks(docs.where("false"), "doc", "body", items, "item", "item_text").count() == 0
+
+
+def test_batches_without_suspects(spark):
+    """Texts that share no passage with an item, alone, beside others, and as a whole stretch of CHARS characters before one that does."""
+    assert found(spark, ["nothing of it"] * 9) == {}
+    assert found(spark, ["nothing of it"] * 9 + [TEXTS[0]]) == {(9, 0): 0}
+    docs = spark.createDataFrame([(0, "long " * (L.CHARS // 5 + 1)), (1, TEXTS[0]), (2, "long " * (L.CHARS // 5 + 1))], "doc bigint, body string").coalesce(1)
+    items = spark.createDataFrame(list(enumerate(ITEMS)), "item bigint, t string")
+    assert [tuple(r) for r in L.find_leaks(docs, "doc", "body", items, "item", "t").collect()] == [(1, 0, 0)]
